@@ -1,10 +1,14 @@
 """The subpackage's queries, and their SQL where SQL can express them."""
 
 from .packing import op7_pattern_packing
+from .quality_rules import OP5_SQL, op5_rule_cascade
 from .repair_codec import op9_repair_tokens
+from .simhash import op10_simhash_vptree
 
 QUERIES = {
+    "op5_rule_cascade": op5_rule_cascade,
     "op7_pattern_packing": op7_pattern_packing,
     "op9_repair_tokens": op9_repair_tokens,
+    "op10_simhash_vptree": op10_simhash_vptree,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_rule_cascade": OP5_SQL}
