@@ -1,11 +1,17 @@
 """The subpackage's queries, and their SQL where SQL can express them."""
 
+from .decontaminate import op4_template_decontamination
+from .importance import op1_importance_resampling
 from .packing import op7_pattern_packing
+from .pii import op2_skip_chain_pii
 from .quality_rules import OP5_SQL, op5_rule_cascade
 from .repair_codec import op9_repair_tokens
 from .simhash import op10_simhash_vptree
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op2_skip_chain_pii": op2_skip_chain_pii,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_rule_cascade": op5_rule_cascade,
     "op7_pattern_packing": op7_pattern_packing,
     "op9_repair_tokens": op9_repair_tokens,
