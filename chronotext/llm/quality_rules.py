@@ -25,6 +25,9 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SAMPLE_ROWS, SAMPLE_COPIES = 200, 20
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "rejected_by", "kept", "_w", "_l")
+
+
 @dataclass(frozen=True)
 class Rule:
     """rejects: true for a row to reject; it may use the measures and the text."""
@@ -114,9 +117,10 @@ def cascade(ordered: list[Rule]) -> Column:
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", given: list[Rule] | None = None) -> DataFrame:
-    """docs with the measures, rejected_by and kept."""
+    """docs with the measures, rejected_by and kept, which take the place of columns of these names."""
     if text_col != "text":
         docs = docs.withColumn("text", F.col(text_col))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     measured = measure(docs)
     ordered = order_rules(measured, given or rules())
     return measured.withColumn("rejected_by", cascade(ordered)).withColumn("kept", F.col("rejected_by").isNull())

@@ -1,11 +1,68 @@
-"""From raw documents to packed training sequences, one operator a stage."""
+"""From raw documents to packed training sequences: five stages, each one operator over all that the last kept.
 
-STAGES = []
+Every stage but the last returns the columns of documents. Null and empty texts fall to the quality rules; rows
+that are equal in every column count as copies of each other; an empty table passes through all stages; extra
+columns are carried along up to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronotext.llm.common import materialize, table
+from chronotext.llm.decontaminate import decontaminate
+from chronotext.llm.packing import pack
+from chronotext.llm.pii import redact
+from chronotext.llm.quality_rules import apply_rules
+from chronotext.llm.simhash import near_duplicates
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the cascade rejects go."""
+    judged = apply_rules(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"]))
+    return judged.where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each component the row with the smallest doc_id stays (null ids last)."""
+    key = F.xxhash64(*(docs[c] for c in docs.columns))
+    groups = near_duplicates(docs.select("doc_id", "text", key.alias("_row")), keep=("_row",))
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    stay = first.select(F.col("first._row").alias("_row"))
+    kept = docs.withColumn("_row", key).join(stay, "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: personal data becomes its kind in brackets; n_chars follows the text."""
+    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: a row for each piece of a document, with its sequence and place."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("pii_redaction", pii_redaction),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Fingerprint components, tokens and packing are beyond SQL; the tests compare each stage with a brute-force form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
