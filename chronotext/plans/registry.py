@@ -1,4 +1,6 @@
 """Every query of the library by name, with its DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import catalog, documents, segments  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
