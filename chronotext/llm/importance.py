@@ -4,7 +4,7 @@ Unigrams and bigrams of lower-cased words are hashed to buckets. One pass counts
 raw model) and over the target, a bounded sample of documents that are labelled good and not toxic. A document's
 log weight is the sum over its n-grams of log p_target / p_raw, both smoothed by the same prior. A second pass
 scores every document and adds Gumbel noise drawn from its id; the k largest keys are a sample without
-replacement by weight. k is what keeps a stated share of the target sample itself.
+replacement by weight. k is what keeps a stated share of held-out target documents.
 
 Null and empty texts have no n-grams and log weight 0; a null id is scored like id 0; repeated rows get the
 same key, and all rows that tie with the k-th key are kept; an empty table gives no rows; without good labels
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: log2 of the buckets; the prior's n-grams a bucket; labelled documents in the target model, at most.
-BITS, PRIOR, TARGET_ROWS = 20, 10.0, 20_000
-#: Share of the target sample whose keys are above the cut.
-KEEP_TARGET = 0.99
+BITS, PRIOR, TARGET_ROWS = 20, 10.0, 50_000
+#: Share of held-out target documents whose keys are above the cut; every HELD_OUT-th of the sample is held out, as
+#: a document that the target model has counted scores too well.
+KEEP_TARGET, HELD_OUT = 0.99, 4
 BLOCK = 1 << 14
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -56,7 +57,7 @@ def _chunks(column: pa.Array, bits: int, most: int = 1 << 21) -> Iterator[tuple[
 
 def count(docs: DataFrame, target_ids: np.ndarray, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts of all documents and of the target's, summed in two steps from a row for each task and block."""
-    ids = docs.sparkSession.sparkContext.broadcast(np.sort(target_ids))
+    ids, block = docs.sparkSession.sparkContext.broadcast(np.sort(target_ids)), min(BLOCK, 1 << bits)
 
     def tally(batches):
         raw, own = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -71,14 +72,14 @@ def count(docs: DataFrame, target_ids: np.ndarray, bits: int = BITS, id_col: str
                     own += np.bincount(found[of], minlength=1 << bits)
         if some:
             salt = TaskContext.get().partitionId() % 64
-            for i in range(0, 1 << bits, BLOCK):
-                yield _row(i, salt, raw[i : i + BLOCK], own[i : i + BLOCK])
+            for i in range(0, 1 << bits, block):
+                yield _row(i, salt, raw[i : i + block], own[i : i + block])
 
-    def _row(block, salt, raw, own):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (raw, own))], ["block", "salt", "raw", "own"])
+    def _row(first, salt, raw, own):
+        return pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (raw, own))], ["block", "salt", "raw", "own"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+        raw, own = np.zeros(block, np.int64), np.zeros(block, np.int64)
         for b in batches:
             for r, t in zip(b.column("raw"), b.column("own"), strict=True):
                 raw += np.frombuffer(zlib.decompress(r.as_py()), np.int64)
@@ -90,9 +91,9 @@ def count(docs: DataFrame, target_ids: np.ndarray, bits: int = BITS, id_col: str
     for keys in (["block", "salt"], ["block"]):
         parts = parts.groupBy(*keys).applyInArrow(add, schema)
     raw, own = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    for r in parts.collect():  # (1 << bits) / BLOCK rows
-        raw[r.block : r.block + BLOCK] = np.frombuffer(zlib.decompress(r.raw), np.int64)
-        own[r.block : r.block + BLOCK] = np.frombuffer(zlib.decompress(r.own), np.int64)
+    for r in parts.collect():  # (1 << bits) / block rows
+        raw[r.block : r.block + block] = np.frombuffer(zlib.decompress(r.raw), np.int64)
+        own[r.block : r.block + block] = np.frombuffer(zlib.decompress(r.own), np.int64)
     return raw, own
 
 
@@ -161,10 +162,11 @@ def resample(docs: DataFrame, labels: DataFrame, keep_target: float = KEEP_TARGE
     """doc_id, log_weight, key and kept, for every document. k: rows to sample, else as keep_target has it."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     target = np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).collect()], np.int64)
-    scored = materialize(score(docs, log_ratios(*count(docs, target)), seed), "scored")
+    held = np.arange(len(target)) % HELD_OUT == 0
+    scored = materialize(score(docs, log_ratios(*count(docs, target[~held])), seed), "scored")
     if k is None:
-        ids = docs.sparkSession.createDataFrame([(int(x),) for x in target], "doc_id long")
-        own = scored.join(F.broadcast(ids), "doc_id", "left_semi")  # at most TARGET_ROWS ids
+        ids = docs.sparkSession.createDataFrame([(int(x),) for x in target[held]], "doc_id long")
+        own = scored.join(F.broadcast(ids), "doc_id", "left_semi")  # at most TARGET_ROWS / HELD_OUT ids
         cut = own.agg(F.percentile("key", 1 - keep_target)).collect()[0][0]
         k = scored.where(F.col("key") >= cut).count() if cut is not None else scored.count()
     cut = kth_largest(scored, k)
