@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from chronotext.config import RepairConfig
 
@@ -86,7 +87,7 @@ def derivation_cue(text: Column) -> Column:
     return F.rlike(text, F.lit(DERIVATION_CUE))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def deflated_bytes(key: pd.Series) -> pd.Series:
     """Bytes after zlib's default compression, which Spark has no function for; 0 for an empty text."""
     return key.map(lambda k: len(zlib.compress(k.encode())) if k else 0).astype("int32")

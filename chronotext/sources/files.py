@@ -8,10 +8,9 @@ import wave
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 # Suffixes of recordings.
 AUDIO = ("mp3", "m4a", "wav", "flac", "aac", "ogg", "opus")
@@ -33,7 +32,7 @@ def scan_recordings(spark: SparkSession, path: str, known: DataFrame, now: str,
     return out if streaming else out.orderBy("path")
 
 
-@F.pandas_udf("duration_sec double, sample_rate int, channels int, error string")
+@F.pandas_udf(T.StructType([T.StructField("duration_sec", T.DoubleType()), T.StructField("sample_rate", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("error", T.StringType())]))
 def probe_wave(content: pd.Series) -> pd.DataFrame:
     """Length, rate and channels of PCM WAVE bytes; error where they aren't or are empty."""
     rows = []
