@@ -37,16 +37,25 @@ def native_reasons(seg: DataFrame, cfg: RepairConfig = RepairConfig()) -> DataFr
     return out.withColumn("reasons", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named)), lambda x: x.isNotNull())).drop("grams", "n")
 
 
-def candidates(seg: DataFrame, duration: DataFrame, cfg: RepairConfig = RepairConfig()) -> DataFrame:
-    """Suspicious spans with padded windows: single rows with a reason, and runs of equal neighbours."""
-    flagged = native_reasons(seg, cfg).join(duration, "session_id")
+def candidates(seg: DataFrame, duration: DataFrame | None = None, cfg: RepairConfig = RepairConfig()) -> DataFrame:
+    """Suspicious spans with padded windows: single rows with a reason, and runs of equal neighbours. duration: of the
+    sessions, else their last end. One pass: a run's span is emitted by its last row."""
+    flagged = native_reasons(seg, cfg)
+    all_ = Window.partitionBy("session_id")
+    flagged = flagged.withColumn("duration", F.max("seg_end").over(all_)) if duration is None else flagged.join(duration, "session_id")
     pad = cfg.padding_seconds
-    window = lambda lo, hi: (F.greatest(F.lit(0.0), lo - pad).alias("window_start"), F.least("duration", hi + pad).alias("window_end"))
-    single = flagged.where(F.size("reasons") > 0).select("session_id", "seg_start", "seg_end", *window(F.col("seg_start"), F.col("seg_end")), F.array("id").alias("ids"), "reasons")
-    long = runs(flagged, ["session_id"], "id", "key").where((F.col("key") != "") & (F.col("run_length") >= cfg.longest_run_threshold))
-    group = long.groupBy("session_id", "run").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.max("duration").alias("duration"), F.sort_array(F.collect_list("id")).alias("ids"), F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list("reasons")), F.array(F.lit("cross_segment_repetition"))))).alias("reasons"))
-    group = group.select("session_id", "seg_start", "seg_end", *window(F.col("seg_start"), F.col("seg_end")), "ids", "reasons")
-    return single.unionByName(group)
+    r = Window.partitionBy("session_id", "run")
+    flagged = runs(flagged, ["session_id"], "id", "key")
+    flagged = flagged.withColumn("run_start", F.min("seg_start").over(r)).withColumn("run_end", F.max("seg_end").over(r)).withColumn("run_ids", F.collect_list("id").over(r)).withColumn("run_reasons", F.collect_list("reasons").over(r))
+
+    def span(lo, hi, ids, reasons):
+        return F.struct(lo.alias("seg_start"), hi.alias("seg_end"), F.greatest(F.lit(0.0), lo - pad).alias("window_start"), F.least("duration", hi + pad).alias("window_end"), ids.alias("ids"), reasons.alias("reasons"))
+
+    single = F.when(F.size("reasons") > 0, span(F.col("seg_start"), F.col("seg_end"), F.array("id"), F.col("reasons")))
+    long = (F.col("key") != "") & (F.col("run_length") >= cfg.longest_run_threshold) & (F.col("run_place") == F.col("run_length"))
+    cross = F.array_sort(F.array_distinct(F.concat(F.flatten("run_reasons"), F.array(F.lit("cross_segment_repetition")))))
+    group = F.when(long, span(F.col("run_start"), F.col("run_end"), F.sort_array("run_ids"), cross))
+    return flagged.select("session_id", F.explode(F.filter(F.array(single, group), lambda x: x.isNotNull())).alias("c")).select("session_id", "c.*")
 
 
 def union_windows(spans: DataFrame) -> DataFrame:

@@ -143,21 +143,21 @@ reg AS (SELECT session_id, region::BIGINT AS region_id, min(seg_start) AS seg_st
 @query(SEG + _CANDIDATES + " SELECT session_id, seg_start, seg_end, window_start::DOUBLE AS window_start, window_end, len(ids)::INTEGER AS n_ids, array_to_string(reasons, '|') AS reasons FROM win")
 def suspicious_windows(spark, d):
     seg = seg_docs(spark, d)
-    c = R.candidates(seg, durations(seg))
+    c = R.candidates(seg)
     return c.select("session_id", "seg_start", "seg_end", "window_start", "window_end", F.size("ids").alias("n_ids"), F.concat_ws("|", "reasons").alias("reasons"))
 
 
 @query(SEG + _UNION + " SELECT session_id, region_id, seg_start, seg_end, window_start::DOUBLE AS window_start, window_end, array_to_string(ids, '|') AS ids, array_to_string(reasons, '|') AS reasons FROM reg")
 def window_union(spark, d):
     seg = seg_docs(spark, d)
-    u = R.union_windows(R.candidates(seg, durations(seg)))
+    u = R.union_windows(R.candidates(seg))
     return u.select("session_id", "region_id", "seg_start", "seg_end", "window_start", "window_end", F.concat_ws("|", F.col("ids").cast("array<string>")).alias("ids"), F.concat_ws("|", "reasons").alias("reasons"))
 
 
 @query(SEG + _UNION + " SELECT session_id, region_id, max(s.seg_end) - min(s.seg_start) AS seconds, count(*) AS n_segments FROM reg JOIN seg s USING (session_id) WHERE s.seg_end > window_start AND s.seg_start < window_end GROUP BY ALL")
 def window_segments(spark, d):
     seg = seg_docs(spark, d)
-    return R.window_text(seg, R.union_windows(R.candidates(seg, durations(seg)))).drop("text")
+    return R.window_text(seg, R.union_windows(R.candidates(seg))).drop("text")
 
 
 _BEFORE_AFTER = "SELECT session_id, id, length(text) AS bc, (id % 7) / 4.0 AS bs, id % 3 <> 0 AS bq, CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN length(text) // 50 ELSE length(text) END AS ac, (id % 4) / 4.0 AS asc_, id % 2 = 0 AS aq FROM seg"
@@ -177,20 +177,20 @@ def repair_decisions(spark, d):
 @query(SEG + _UNION + " SELECT session_id, region_id, CASE WHEN list_contains(reasons, 'low_text_density') THEN 'sparse_recovery_no_hotwords_no_vad' WHEN list_contains(reasons, 'prompt_echo') THEN 'prompt_echo_recovery_no_hotwords' WHEN session_id % 2 = 0 THEN 'default_hotwords' ELSE 'default_no_hotwords' END AS strategy FROM reg")
 def strategy_case(spark, d):
     seg = seg_docs(spark, d)
-    return R.union_windows(R.candidates(seg, durations(seg))).select("session_id", "region_id", R.strategy(F.col("reasons"), F.col("session_id") % 2 == 0).alias("strategy"))
+    return R.union_windows(R.candidates(seg)).select("session_id", "region_id", R.strategy(F.col("reasons"), F.col("session_id") % 2 == 0).alias("strategy"))
 
 
 @query(SEG + _UNION + " SELECT session_id, count(*) AS n_regions, count(*) FILTER (region_id % 2 = 0) AS n_accepted, count(*) FILTER (region_id % 2 <> 0) AS n_rejected, sum(seg_end - seg_start) AS seconds_before, sum(CASE WHEN region_id % 2 = 0 THEN 0.0 ELSE seg_end - seg_start END) AS seconds_after FROM reg GROUP BY session_id")
 def repair_summary(spark, d):
     seg = seg_docs(spark, d)
-    return R.summary(R.union_windows(R.candidates(seg, durations(seg))).withColumn("accepted", F.col("region_id") % 2 == 0))
+    return R.summary(R.union_windows(R.candidates(seg)).withColumn("accepted", F.col("region_id") % 2 == 0))
 
 
 @query(SEG + _UNION + " SELECT session_id, region_id, region_id % 2 = 0 AND list_contains(reasons, CASE session_id % 3 WHEN 0 THEN 'low_text_density' WHEN 1 THEN 'repeated_ngrams' ELSE 'prompt_echo' END) AS accepted FROM reg")
 def new_anomaly_veto(spark, d):
     seg = seg_docs(spark, d)
     after = F.array(F.when(F.col("session_id") % 3 == 0, "low_text_density").when(F.col("session_id") % 3 == 1, "repeated_ngrams").otherwise("prompt_echo"))
-    u = R.union_windows(R.candidates(seg, durations(seg)))
+    u = R.union_windows(R.candidates(seg))
     return u.select("session_id", "region_id", R.veto(F.col("region_id") % 2 == 0, after, F.array().cast("array<string>"), F.col("reasons")).alias("accepted"))
 
 
