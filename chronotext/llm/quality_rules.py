@@ -12,6 +12,7 @@ table gives no rows; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,28 +26,28 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SAMPLE_ROWS, SAMPLE_COPIES = 200, 20
 
 
-ADDED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "rejected_by", "kept", "_w", "_l")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+ADDED = (*MEASURES, "rejected_by", "kept", "_v")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: true for a row to reject; it may use the measures and the text."""
+    """rejects: from a struct of the measures and the text, true for a row to reject."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column], Column]
 
 
 def rules() -> list[Rule]:
     """The default rules. Their limits leave ordinary prose, tables and lists far inside."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]++", ""))
+    words = lambda m: F.greatest(m["n_words"], F.lit(1))
     return [
-        Rule("few_words", F.col("n_words") < LEAST_WORDS),
-        Rule("repeated_windows", 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-        Rule("symbols", F.col("n_symbols") > words),
-        Rule("duplicate_lines", (F.col("n_dup_lines") >= 4) & (2 * F.col("n_dup_lines") > F.col("n_lines"))),
-        Rule("word_length", (F.col("word_chars") > 20 * words) | (F.col("word_chars") < 2 * words)),
-        Rule("letters", 10 * letters < 4 * F.col("word_chars")),
+        Rule("few_words", lambda m: m["n_words"] < LEAST_WORDS),
+        Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]),
+        Rule("symbols", lambda m: m["n_symbols"] > words(m)),
+        Rule("duplicate_lines", lambda m: (m["n_dup_lines"] >= 4) & (2 * m["n_dup_lines"] > m["n_lines"])),
+        Rule("word_length", lambda m: (m["word_chars"] > 20 * words(m)) | (m["word_chars"] < 2 * words(m))),
+        Rule("letters", lambda m: 10 * F.length(F.regexp_replace(m["text"], r"[^\p{L}]++", "")) < 4 * m["word_chars"]),
     ]
 
 
@@ -65,9 +66,9 @@ def _covered(windows: Column) -> Column:
     return let(ordered, lambda s: let(F.array_sort(repeated(s)), union))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words; text_col is read whole."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of MEASURES and the text, as one expression: a filter on it, which Spark moves down, costs it only once."""
+    text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]++"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
 
@@ -81,21 +82,23 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         twice = F.when(n > WINDOW, let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long")))).otherwise(F.lit(0).cast("long"))
         return F.struct(n.cast("long").alias("n_words"), twice.alias("n_repeat_words"))
 
-    lengths = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = docs.withColumn("_w", let(words, of_words)).withColumn("_l", lengths)
-    out = out.withColumn("word_chars", F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]++", "")).cast("long"))
-    out = out.withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long"))
-    return out.select("*", "_w.n_words", "_w.n_repeat_words", "_l.n_lines", "_l.n_dup_lines").drop("_w", "_l")
+    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    out = F.struct(
+        let(words, of_words).alias("w"), let(lines, of_lines).alias("l"),
+        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]++", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
+    )
+    flat = lambda m: F.struct(m["w"]["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_lines"].alias("n_lines"), m["l"]["n_dup_lines"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"), text.alias("text"))
+    return let(out, flat)
 
 
-def order_rules(measured: DataFrame, given: list[Rule], rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, given: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per second on the sample, most first (ties: as given)."""
-    sample = measured.select("text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words").limit(rows).collect()
-    if not sample:
+    sample = docs.select(measures(F.col(text_col)).alias("m")).limit(rows)
+    found = sample.collect()
+    if not found:
         return given
-    spark = measured.sparkSession
-    few = spark.createDataFrame(sample, measured.select("text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words").schema)
-    few = few.coalesce(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES))).alias("_copy"))
+    few = docs.sparkSession.createDataFrame(found, sample.schema).coalesce(1).select("m", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES))).alias("copy"))
 
     def timed(c: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -103,27 +106,29 @@ def order_rules(measured: DataFrame, given: list[Rule], rows: int = SAMPLE_ROWS)
         return time.perf_counter() - began, n
 
     timed(F.lit(False))
-    floor = timed(F.col("n_words") < 0)[0]
-    found = [(max(1e-4, t - floor), n, k) for k, (t, n) in enumerate(timed(r.rejects) for r in given)]
-    return [given[k] for _, _, k in sorted((-n / t, t, k) for t, n, k in found)]
+    floor = timed(F.col("m.n_words") < 0)[0]
+    cost = [(max(1e-4, t - floor), n, k) for k, (t, n) in enumerate(timed(r.rejects(F.col("m"))) for r in given)]
+    return [given[k] for _, _, k in sorted((-n / t, t, k) for t, n, k in cost)]
 
 
-def cascade(ordered: list[Rule]) -> Column:
+def cascade(ordered: list[Rule], m: Column) -> Column:
     """Name of the first rule, in this order, that rejects; null if none does."""
     out = F.when(F.lit(False), F.lit(""))
     for r in ordered:
-        out = out.when(F.coalesce(r.rejects, F.lit(False)), F.lit(r.name))
+        out = out.when(F.coalesce(r.rejects(m), F.lit(False)), F.lit(r.name))
     return out
 
 
+def verdict(text: Column, ordered: list[Rule]) -> Column:
+    """A struct of MEASURES and rejected_by."""
+    return let(measures(text), lambda m: F.struct(*(m[k].alias(k) for k in MEASURES), cascade(ordered, m).alias("rejected_by")))
+
+
 def apply_rules(docs: DataFrame, text_col: str = "text", given: list[Rule] | None = None) -> DataFrame:
     """docs with the measures, rejected_by and kept, which take the place of columns of these names."""
-    if text_col != "text":
-        docs = docs.withColumn("text", F.col(text_col))
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
-    measured = measure(docs)
-    ordered = order_rules(measured, given or rules())
-    return measured.withColumn("rejected_by", cascade(ordered)).withColumn("kept", F.col("rejected_by").isNull())
+    out = docs.withColumn("_v", verdict(F.col(text_col), order_rules(docs, given or rules(), text_col)))
+    return out.select(*docs.columns, "_v.*", F.col("_v.rejected_by").isNull().alias("kept"))
 
 
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
