@@ -28,7 +28,7 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Rounds of message passing, and the belief a span's words need.
+#: Rounds of message passing, and the belief that one of a span's words needs (of all it is the likeliest label).
 ROUNDS, BELIEF = 8, 0.9
 
 _DIGIT = re.compile(rb"[0-9@]")
@@ -244,17 +244,19 @@ def field_spans(texts: list[str], weights: dict[str, np.ndarray], known: list[li
         found, joined = [], {j for _, j in chain}
         for i, (a, b) in enumerate(places):
             k = int(p[o + i].argmax())
-            if not k or p[o + i, k] < belief:
+            if not k:
                 continue
             if found and i in joined and found[-1][0] == k - 1 and found[-1][2] == places[i - 1][1]:
-                found[-1][2] = b
+                found[-1][2:] = b, max(found[-1][3], p[o + i, k])
             else:
-                found.append([k - 1, a, b])
+                found.append([k - 1, a, b, p[o + i, k]])
         spans = []
         taken = sorted((s, e) for _, s, e in have)
         starts = [s for s, _ in taken]
         far = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0)
-        for k, a, b in found:
+        for k, a, b, sure in found:
+            if sure < belief:
+                continue
             own = text[a:b]
             a += len(own) - len(own.lstrip(".,;:!?\"'()[]<>"))
             b -= len(own) - len(own.rstrip(".,;:!?\"'([]<>"))
