@@ -33,17 +33,19 @@ MAGIC = b"RPG1"
 _HASH_BITS = 20
 
 
-def _frequent(seq: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Codes (left << 32 | right) of the most frequent adjacent pairs, exactly counted, most frequent first.
-    free: positions whose pair stays inside a document."""
-    code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-    code = code[free]
-    slot = ((code * np.int64(-7046029254386353131)) >> np.int64(64 - _HASH_BITS)) & ((1 << _HASH_BITS) - 1)
+def _slots(code: np.ndarray) -> np.ndarray:
+    return ((code * np.int64(-7046029254386353131)) >> np.int64(64 - _HASH_BITS)) & ((1 << _HASH_BITS) - 1)
+
+
+def _frequent(code: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The most frequent pair codes, exactly counted, sorted by code. Hashed counts only rule pairs out: no pair occurs
+    more often than its slot."""
     often = np.bincount(slot, minlength=1 << _HASH_BITS)
-    least = max(LEAST, int(np.sort(np.partition(often, -2 * PAIRS)[-2 * PAIRS :])[0]))  # no pair is counted below its slot
+    some = often[often >= LEAST]
+    least = max(LEAST, int(np.partition(some, -2 * PAIRS)[-2 * PAIRS])) if len(some) > 2 * PAIRS else LEAST
     pairs, counts = np.unique(code[often[slot] >= least], return_counts=True)
     keep = np.argsort(-counts, kind="stable")[:PAIRS]
-    return pairs[keep[counts[keep] >= LEAST]]
+    return np.sort(pairs[keep[counts[keep] >= LEAST]])
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -52,19 +54,20 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np
     for _ in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
-        free = np.ones(len(seq), bool)
-        free[at[1:] - 1] = False
-        free = free[:-1]
-        pairs = np.sort(_frequent(seq, free))
+        inside = np.ones(len(seq), bool)
+        inside[at[1:] - 1] = inside[-1] = False
+        place = np.flatnonzero(inside)  # pairs that stay in one document
+        code = (seq[place].astype(np.int64) << 32) | seq[place + 1]
+        slot = _slots(code)
+        pairs = _frequent(code, slot)
         if not len(pairs):
             break
-        code = (seq[:-1].astype(np.int64) << 32) | seq[1:]
-        heads = np.zeros(int(max(seq.max(), pairs[-1] >> 32)) + 1, bool)
-        heads[pairs >> 32] = True
-        hit = np.flatnonzero(free & heads[seq[:-1]])
-        rule = np.searchsorted(pairs, code[hit])
-        match = pairs[np.minimum(rule, len(pairs) - 1)] == code[hit]
-        hit, rule = hit[match], rule[match]
+        marked = np.zeros(1 << _HASH_BITS, bool)
+        marked[_slots(pairs)] = True
+        near = np.flatnonzero(marked[slot])
+        rule = np.searchsorted(pairs, code[near])
+        match = pairs[np.minimum(rule, len(pairs) - 1)] == code[near]
+        hit, rule = place[near[match]], rule[match]
         # of pairs that overlap, the first, third, ... of the run are replaced
         new = np.diff(hit, prepend=-9) > 1
         run_at = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
