@@ -31,7 +31,7 @@ ITERATIONS = 400
 #: Patterns leave at most this share of a sequence empty.
 MAX_WASTE = 0.004
 #: Pieces of one length that are ranked in one group, about.
-RANKED = 20_000
+RANKED = 2_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
