@@ -7,6 +7,10 @@ two points whose distances to the vantage point differ by more than the radius c
 goes on splitting the same way and compares only inside its last blocks; it emits a spanning forest of its
 links, never all pairs. Components are joined by large-star and small-star rounds on tables in the shared folder.
 
+Near copies whose fingerprints lie further apart can be asked for too (similar_links): pairs of texts whose word
+shingles have a Jaccard similarity of at least a given share, found by prefix filters, which lose none, and confirmed
+exactly. A Hamming radius that held them all would reach so far that the tree could not prune.
+
 Null and empty texts (and texts of white space only) have fingerprint zero and are linked like any other. A
 null id is kept and never is a component's id unless no other is there; repeated rows are all returned; an
 empty table gives no rows; columns that are not asked for are not read.
@@ -29,6 +33,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 SAMPLE, SHARD, MAX_SHARDS = 20_000, 16_000, 4096
 #: Points compared with each other at the end of a branch.
 BLOCK = 1024
+#: Words of a shingle and the similarity of texts that a training set should hold once.
+COPY_SHINGLE, COPY = 5, 0.8
 
 
 def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
@@ -181,11 +187,80 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select("u", F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """id, the columns keep, fp, component_id (least id of the component) and component (a fingerprint that names it)."""
+def shingles(text: bytes, size: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of a text's word shingles, ascending; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    if len(words) < size:
+        grams = [b" ".join(words)] if words else []
+    else:
+        grams = list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def _least_common(n, similar: float):
+    """How many of n shingles a text must share with another at that similarity."""
+    return np.ceil(n * similar - 1e-9).astype(np.int64)
+
+
+def similar_links(texts: DataFrame, size: int = COPY_SHINGLE, similar: float = COPY) -> DataFrame:
+    """u, v with u > v: fingerprints of texts (columns node, which names the text, fp, text) of that similarity. Enough
+    links to join each component: texts that a shared pivot has already joined are not compared again."""
+
+    def explode(whole: bool):
+        def rows(batches):
+            for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+                own = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", size) for x in b.column(2)]
+                n = np.array([len(h) for h in own], np.int64)
+                # of each text's shingles in one order, two similar texts share one of so many first ones
+                take = n if whole else np.where(n > 0, n - _least_common(n, similar) + 1, 0)
+                keys = np.concatenate([h[:k] for h, k in zip(own, take, strict=True)]) if len(own) else np.zeros(0, np.uint64)
+                of = np.repeat(np.arange(len(own)), take)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(n[of].astype(np.int32))], ["key", "node", "fp", "n"])
+
+        return rows
+
+    schema = "key long, node long, fp long, n int"
+    texts = texts.select("node", "fp", "text")
+    first = materialize(texts.mapInArrow(explode(False), schema).select("key", "node"), "first")
+    shared = first.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    nodes = materialize(first.join(shared, "key", "left_semi").select("node").distinct(), "suspects")
+    # the rarest shingles first, so that a common line pairs no texts that are not made of it
+    every = materialize(texts.join(nodes, "node", "left_semi").mapInArrow(explode(True), schema), "shingles")
+    common = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    sets = every.join(common, "key").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    least = F.ceil(F.col("n") * similar - 1e-9).cast("int")
+    sets = materialize(sets.where(F.size("keys") >= least).withColumn("take", F.size("keys") - least + 1), "sets")
+    prefix = materialize(sets.select("node", "n", F.explode(F.slice("keys", 1, F.col("take"))).alias("k")).select(F.col("k.key").alias("key"), "node", "n"), "prefixes")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * similar - 1e-9).select("node", "other").distinct()
+        a = sets.select("node", F.col("fp").alias("a"), "n", F.col("keys.key").alias("x"))
+        b = sets.select(F.col("node").alias("other"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("keys.key").alias("y"))
+        both = pairs.join(a, "node").join(b, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
+        return materialize(both.where(F.col("both") >= similar * (F.col("n") + F.col("m") - F.col("both")) - 1e-9).select("node", "other", "a", "b"), "similar")
+
+    pivot = prefix.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
+    stars = confirmed(prefix.join(pivot, "key").where("node > other"))
+    root = components(stars.select(F.col("node").alias("u"), F.col("other").alias("v")))
+    at = prefix.join(root.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    at = materialize(at, "rooted")
+    apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    at = at.join(apart, "key", "left_semi")
+    other = at.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
+    rest = confirmed(at.join(other, "key").where("node > other AND root <> to"))
+    return stars.unionByName(rest).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None) -> DataFrame:
+    """id, the columns keep, fp, component_id (least id of the component) and component (a fingerprint that names it).
+    With similar, texts whose COPY_SHINGLE-word shingles are that similar are linked too."""
     rows = materialize(fingerprints(docs, text_col, [id_col, *keep], shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    of = components(fingerprint_links(nodes, radius))
+    found = fingerprint_links(nodes, radius)
+    if similar is not None:
+        texts = fingerprints(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node")).dropDuplicates(["node"]), "text", ["node", "text"], shingle)
+        found = found.unionByName(similar_links(materialize(texts, "texts"), similar=similar))
+    of = components(found)
     nodes = nodes.join(of.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
     nodes = materialize(nodes, "members")
     # only components of several fingerprints need a look at each other

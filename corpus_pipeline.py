@@ -15,7 +15,7 @@ from chronotext.llm.decontaminate import decontaminate
 from chronotext.llm.packing import pack
 from chronotext.llm.pii import redact
 from chronotext.llm.quality_rules import apply_rules
-from chronotext.llm.simhash import near_duplicates
+from chronotext.llm.simhash import COPY, near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each component the row with the smallest doc_id stays (null ids last)."""
+    """Operator 10, with links of 5-word Jaccard 0.8 or more: of each component the row with the smallest doc_id stays (null ids last)."""
     key = F.xxhash64(*(docs[c] for c in docs.columns))
-    groups = near_duplicates(docs.select("doc_id", "text", key.alias("_row")), keep=("_row",))
+    groups = near_duplicates(docs.select("doc_id", "text", key.alias("_row")), keep=("_row",), similar=COPY)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
     stay = first.select(F.col("first._row").alias("_row"))
     kept = docs.withColumn("_row", key).join(stay, "_row", "left_semi")

@@ -471,6 +471,46 @@ def test_chain_of_links(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_copies_beyond_the_radius_are_linked(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = " ".join(word() for _ in range(20))
+    texts = [" ".join(word() for _ in range(n)) for n in (60, 120, 90, 3) for _ in range(4)]
+    texts += [f"{t} {line}" for t in texts[:8]]
+    for t in texts[:10]:
+        for cut in (3, 8, 20, 45):
+            w = t.split()
+            w[cut % len(w)] = word()
+            texts.append(" ".join(w[: len(w) - cut // 4]))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) or {t} for i, t in enumerate(texts)}
+    fps = [simhash.fingerprint(t) for t in texts]
+    root = {i: i for i in sets}
+    far = 0
+    for i in sets:
+        for j in range(i):
+            near, alike = (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS, 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+            far += alike and not near
+            if near or alike:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert far > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, similar=simhash.COPY).collect()}
+    assert got == root
+
+
+def test_dedup_stage_drops_copies_beyond_the_radius(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    far = [*words[:60], "changed", *words[61:90], "here", *words[91:]]
+    near = lambda a, b: (simhash.fingerprint(" ".join(a)) ^ simhash.fingerprint(" ".join(b))).bit_count()
+    assert near(words, far) > simhash.RADIUS
+    df = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate((words, far, words[::-1]))], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()} == {0, 2}
+
+
 # ---- queries and pipeline ----
 
 
