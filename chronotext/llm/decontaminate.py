@@ -5,11 +5,13 @@ benchmark's windows of canonical words are a hash table (at most MAX_WINDOWS win
 in blocks of that size, each over all documents). A document's windows are probed against it. Windows that lie on one
 diagonal of document and item must fill the item's slots consistently: an item's value has one value in the
 document wherever it stands, and the other way round. So a question that is asked again with other numbers is
-found, and a text that merely shares a turn of phrase is not.
+found, and a text that merely shares a turn of phrase is not. A capitalised word that starts a sentence may be a
+name or not; windows that don't match as they stand, where it is none, are hashed both ways on both sides.
 
 Null and empty texts match nothing; null and repeated ids are returned as they come; empty tables give no rows;
-extra columns are kept by decontaminate() and not read by matches(). Items of fewer than LEAST_ITEM words are
-too short to tell and match nothing; items shorter than a window are one window.
+extra columns are kept by decontaminate() and not read by matches(). Items shorter than a window are one window.
+Items of fewer than LEAST_ITEM words, and items none of whose windows has enough literal words, match their exact
+whole sequence of words (one window); an item of one word matches only a text that is that word.
 """
 
 from __future__ import annotations
@@ -56,28 +58,29 @@ def canonical(word: str, starts: bool) -> tuple[str, str]:
 
 
 class Lexicon(dict):
-    """word -> row of mid (code inside a sentence), start (code at its start), ends (whether it ends one)."""
+    """word -> row of mid (code inside a sentence), start (code at its start), value (code of the word itself), ends (whether it ends one)."""
 
     def __init__(self) -> None:
-        self.mid, self.start, self.ends = np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, np.uint64), np.zeros(LEXICON, bool)
+        self.mid, self.start, self.value, self.ends = *(np.zeros(LEXICON, np.uint64) for _ in range(3)), np.zeros(LEXICON, bool)
 
     def __missing__(self, word: bytes) -> int:
         if (n := len(self)) == len(self.mid):
-            self.mid, self.start, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.start, self.ends))
+            self.mid, self.start, self.value, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.start, self.value, self.ends))
         text = word.decode()
         for to, starts in ((self.mid, False), (self.start, True)):
-            to[n] = xxhash.xxh64_intdigest(canonical(text, starts)[0])
+            form, value = canonical(text, starts)
+            to[n], self.value[n] = xxhash.xxh64_intdigest(form), xxhash.xxh64_intdigest(value)
         self.ends[n] = text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
         self[word] = n
         return n
 
-    def codes(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """Codes of several texts' words, strung together."""
+    def codes(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of several texts' words, strung together; the same with words that start a sentence as inside one; rows."""
         row = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         starts = np.concatenate([[True], self.ends[row[:-1]]])
         first = np.cumsum(sizes) - sizes
         starts[first[(sizes > 0)]] = True
-        return np.where(starts, self.start[row], self.mid[row])
+        return np.where(starts, self.start[row], self.mid[row]), self.mid[row], row
 
 
 _LEXICON = [Lexicon()]
@@ -98,6 +101,27 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def window_readings(plain: np.ndarray, named: np.ndarray, size: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(places, their windows' hashes, whether as they stand) for each choice of plain or named codes where they differ."""
+    h = window_hashes(plain, size)
+    yield np.arange(len(h)), h, True
+    before = np.concatenate([[0], np.cumsum(plain != named)])
+    many = before[size:] - before[: len(before) - size] if len(h) else np.zeros(0, int)
+    if len(at := np.flatnonzero(many)):
+        yield at, window_hashes(named, size)[at], False
+    mixed = np.flatnonzero(many > 1)
+    for choice in range(1, (1 << int(many.max(initial=0))) - 1):
+        own = many[mixed]
+        every = mixed[(own >= choice.bit_length()) & ((1 << own) - 1 != choice)]
+        for at in (every[i : i + most] for i in range(0, len(every), most)):
+            out = np.full(len(at), 0x9E3779B97F4A7C15 * size & 0xFFFFFFFFFFFFFFFF, np.uint64)
+            for j in range(size):
+                own = (choice >> (before[at + j] - before[at])) & 1  # where they are the same, either will do
+                out = out * np.uint64(0x100000001B3) + np.where(own, named[at + j], plain[at + j])
+                out ^= out >> np.uint64(29)
+            yield at, out, False
+
+
 def _values(words: list[bytes]) -> list[tuple[str, str]]:
     out, starts = [], True
     for w in words:
@@ -113,39 +137,67 @@ class Block:
     def __init__(self, items: list[tuple]):
         self.items = [(i, (t or "").encode().split()) for i, t in items]
         self.values = [_values(w) for _, w in self.items]
-        hashes, where, self.need, self.size = [], [], [], []
+        hashes, where, self.need, self.size, self.names = [], [], [], [], []
+        whole, exact = [], []
         for k, (_, words) in enumerate(self.items):
             size = min(WINDOW, len(words))
-            h = window_hashes(Lexicon().codes(words, np.array([len(words)])), size) if len(words) >= LEAST_ITEM else np.zeros(0, np.uint64)
+            lexicon = Lexicon()
+            plain, named, row = lexicon.codes(words, np.array([len(words)]))
             literal = np.array([not v[0].startswith("\0") for v in self.values[k]], int)
-            fit = [p for p in range(len(h)) if literal[p : p + size].sum() >= min(LITERALS, size - 1)]
-            hashes += [h[p] for p in fit]
-            where += [(k, p) for p in fit]
+            fit = [p for p in range(len(words) - size + 1) if len(words) >= LEAST_ITEM and literal[p : p + size].sum() >= min(LITERALS, size - 1)]
+            for at, h, stands in window_readings(plain, named, size) if fit else ():
+                for p in np.flatnonzero(np.isin(at, fit)):
+                    hashes.append(h[p])
+                    where.append((k, at[p], stands))
+            if words and not fit:
+                whole.append(window_hashes(lexicon.value[row[:size]], size)[0])
+                exact.append(k)
+            self.names.append(set(np.flatnonzero(plain != named).tolist()))
             self.need.append(min(MATCHES, max(1, len(fit))))
             self.size.append(size)
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
         self.hashes = np.array(hashes, np.uint64)[order]
-        self.where = np.array(where, np.int64).reshape(-1, 2)[order]
-        self.sizes = sorted({self.size[k] for k, _ in where})
+        self.where = np.array(where, np.int64).reshape(-1, 3)[order]
+        self.sizes = sorted({self.size[k] for k, *_ in where})
+        order = np.argsort(np.array(whole, np.uint64), kind="stable")
+        self.whole, self.exact = np.array(whole, np.uint64)[order], np.array(exact, np.int64)[order]
+        self.exact_sizes = sorted({self.size[k] for k in exact})
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def probe(self, codes: np.ndarray, words: list[bytes], sizes: np.ndarray) -> list[tuple[int, int, int, bool]]:
-        """(text, item, windows, whether a slot has another value) of consistent matches."""
+    def probe(self, codes: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray, words: list[bytes], sizes: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        """(text, item, windows, whether a slot has another value) of consistent matches. Windows are counted as they
+        stand if these are enough, else in all readings."""
         ends = np.cumsum(sizes)
-        diagonals: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        plain, named, row = codes
+        diagonals: dict[tuple[int, int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
         for size in self.sizes:
-            h = window_hashes(codes, size)
-            at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            doc = np.searchsorted(ends, at, "right")
-            fit = (hi > lo) & (at + size <= ends[np.minimum(doc, len(ends) - 1)])
-            for p, d, i, j in zip(at[fit], doc[fit], lo[fit], hi[fit], strict=True):
-                for k, q in self.where[i:j]:
-                    if self.size[k] == size:
-                        diagonals[int(d), int(k), int(p) - int(q)].append(int(q))
+            for place, h, stands in window_readings(plain, named, size):
+                some = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
+                at, h = place[some], h[some]
+                lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+                doc = np.searchsorted(ends, at, "right")
+                fit = (hi > lo) & (at + size <= ends[np.minimum(doc, len(ends) - 1)])
+                for p, d, i, j in zip(at[fit], doc[fit], lo[fit], hi[fit], strict=True):
+                    for k, q, own in self.where[i:j]:
+                        if self.size[k] == size:
+                            as_is, all_ = diagonals[int(d), int(k), int(p) - int(q)]
+                            all_.add(int(q))
+                            if own and stands:
+                                as_is.add(int(q))
         out: dict[tuple[int, int], tuple[int, bool]] = {}
-        for (d, k, shift), places in diagonals.items():
+        for size in self.exact_sizes:
+            h = window_hashes(values[row], size)
+            lo, hi = np.searchsorted(self.whole, h, "left"), np.searchsorted(self.whole, h, "right")
+            for p in np.flatnonzero(hi > lo).tolist():
+                d = int(np.searchsorted(ends, p, "right"))
+                for k in self.exact[lo[p] : hi[p]].tolist():
+                    item = self.values[k]
+                    if self.size[k] == size and p + len(item) <= ends[d] and (len(item) > 1 or sizes[d] == 1):
+                        if [canonical(w.decode(), True)[1] for w in words[p : p + len(item)]] == [v for _, v in item]:
+                            out[d, k] = (1, False)
+        for (d, k, shift), (as_is, all_) in diagonals.items():
+            places, read = (as_is, False) if len(as_is) >= self.need[k] else (all_, True)
             if len(places) < self.need[k]:
                 continue
             covered = sorted({q + j for q in places for j in range(self.size[k])})
@@ -154,6 +206,8 @@ class Block:
             consistent, other = True, False
             for q in covered:
                 kind, value = self.values[k][q]
+                if read and q in self.names[k]:
+                    kind = "\0NAME"
                 if kind.startswith("\0"):
                     own = (words[shift + q].decode().strip(_PUNCT) or words[shift + q].decode()).lower()
                     consistent &= there.setdefault((kind, value), own) == own and back.setdefault((kind, own), value) == value
@@ -172,13 +226,15 @@ class Block:
             if len(words) >= most or i + 1 == len(column):
                 if words:
                     n = np.array(sizes)
-                    for d, k, w, other in self.probe(_lexicon().codes(words, n), words, n):
+                    lexicon = _lexicon()
+                    codes = lexicon.codes(words, n)
+                    for d, k, w, other in self.probe(codes, lexicon.value, words, n):
                         yield first + d, k, w, other
                 first, words, sizes = i + 1, [], []
 
 
 def blocks(benchmark: DataFrame, most: int = MAX_WINDOWS) -> Iterator[Block]:
-    """The benchmark in blocks of at most so many windows, read row by row."""
+    """The benchmark in blocks of at most so many windows (in one reading), read row by row."""
     held, n = [], 0
     for i, t in benchmark.select("item_id", "text").toLocalIterator():
         size = len((t or "").split())

@@ -224,6 +224,18 @@ def test_reparameterised_questions():
     assert scan("Carol has 7 apples. They walk to the old market.") == [] == scan(None) == scan("")
 
 
+def test_names_at_the_start_of_a_sentence():
+    b = decontaminate.Block([(1, "Alice has 4 apples and buys 7 more today."), (2, "What is the sum of all odd primes below?"), (3, "Alice sat down. Bob went home. Carol ate soup. Dan fell over."), (4, "x = 3"), (5, "1 2 3 4 5 6 7 8 9 10"), (6, "Yes")])
+    scan = lambda t: [x[1:] for x in b.scan(pa.array([t]))]
+    assert scan("Tom has 3 apples and buys 5 more today.") == [(0, 2, True)]
+    assert scan("It was so. Tom has 3 apples and buys 5 more today. He left.") == [(0, 2, True)]
+    assert scan("Question 12 What is the sum of all odd primes below?") == [(1, 2, False)]
+    assert scan("Eve sat down. Fay went home. Gus ate soup. Hal fell over.") == [(2, 5, True)]
+    assert scan("so x = 3 then") == [(3, 1, False)] and scan("so x = 4 then") == []
+    assert scan("0 1 2 3 4 5 6 7 8 9 10 11") == [(4, 1, False)] and scan("1 2 3 4 5 6 7 8 9 11") == []
+    assert scan("yes") == [(5, 1, False)] and scan("yes it is") == []
+
+
 def test_matches_equal_brute_force(spark, sf, docs):
     d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     grams = defaultdict(set)
