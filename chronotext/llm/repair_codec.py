@@ -1,7 +1,8 @@
 """Operator 9, token files compressed by Re-Pair grammars with random access to documents.
 
 Documents are dealt to partitions by ranges of their id and sorted; each partition is cut into shards. In a
-shard, rounds replace the most frequent adjacent id pairs by new symbols (never across documents). The shard
+shard, rounds replace the most frequent adjacent id pairs by new symbols (never across documents) until no pair
+is found often enough to pay for its rule. The shard
 stores its rules round by round, the length that each rule expands to, and where each document starts both
 in the grammar's sequence and in the expanded ids, so one document is decoded from its own slice.
 
@@ -27,8 +28,8 @@ from .tokens import Encoder, default_vocabulary
 END_ID = 2
 #: Ids in a shard, at least, before it is closed.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 4, 1024, 24
+#: Pairs replaced in a round, and how often a pair must be replaced: a rule takes 16 bytes, each use of it saves 3.
+PAIRS, LEAST = 8192, 6
 MAGIC = b"RPG1"
 _HASH_BITS = 20
 
@@ -37,29 +38,30 @@ def _slots(code: np.ndarray) -> np.ndarray:
     return ((code * np.int64(-7046029254386353131)) >> np.int64(64 - _HASH_BITS)) & ((1 << _HASH_BITS) - 1)
 
 
-def _frequent(code: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """The most frequent pair codes, exactly counted, sorted by code. Hashed counts only rule pairs out: no pair occurs
+def _frequent(code: np.ndarray, slot: np.ndarray, most: int, spent: np.ndarray) -> np.ndarray:
+    """The most frequent pair codes, exactly counted, sorted by code, without spent ones. Hashed counts only rule pairs out: no pair occurs
     more often than its slot."""
     often = np.bincount(slot, minlength=1 << _HASH_BITS)
+    room = 2 * most + len(spent)
     some = often[often >= LEAST]
-    least = max(LEAST, int(np.partition(some, -2 * PAIRS)[-2 * PAIRS])) if len(some) > 2 * PAIRS else LEAST
+    least = max(LEAST, int(np.partition(some, -room)[-room])) if len(some) > room else LEAST
     pairs, counts = np.unique(code[often[slot] >= least], return_counts=True)
-    keep = np.argsort(-counts, kind="stable")[:PAIRS]
+    counts[np.isin(pairs, spent)] = 0
+    keep = np.argsort(-counts, kind="stable")[:most]
     return np.sort(pairs[keep[counts[keep] >= LEAST]])
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(sequence, where documents start in it, rules of each round as rows left, right)."""
     seq, at, rules, symbol = ids.astype(np.int32), starts.astype(np.int64), [], first_symbol
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
+    most, spent = PAIRS, np.zeros(0, np.int64)
+    while len(seq) > LEAST:
         inside = np.ones(len(seq), bool)
         inside[at[1:] - 1] = inside[-1] = False
         place = np.flatnonzero(inside)  # pairs that stay in one document
         code = (seq[place].astype(np.int64) << 32) | seq[place + 1]
         slot = _slots(code)
-        pairs = _frequent(code, slot)
+        pairs = _frequent(code, slot, most, spent)
         if not len(pairs):
             break
         marked = np.zeros(1 << _HASH_BITS, bool)
@@ -73,6 +75,15 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np
         run_at = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
         odd = ((np.arange(len(hit)) - run_at) & 1).astype(bool)
         hit, rule = hit[~odd], rule[~odd]
+        # a pair that overlaps others may be left too few places for its rule to pay
+        pays = np.bincount(rule, minlength=len(pairs)) >= LEAST
+        if not pays.any():
+            if most == 1:  # a run of one id, which is all that a pair alone can overlap
+                spent = np.append(spent, pairs)
+            most = max(1, most // 64)
+            continue
+        most = PAIRS
+        hit, rule, pairs = hit[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]], pairs[pays]
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1).astype(np.int32))
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False

@@ -422,6 +422,16 @@ def test_grammar_round_trip_and_random_access(spark, docs, tokenizer, tmp_path):
     assert [r[1] for r in got] == sorted((r[0] for r in odd_documents()), key=lambda i: (i is not None, i or 0))
 
 
+def test_rules_go_on_until_no_pair_pays():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 50000, 300)
+    many, few = np.tile(passage, 1000).astype(np.int32), np.concatenate([np.append(passage, k) for k in range(23)]).astype(np.int32)
+    for ids, most in ((many, 100), (few, 120), (np.full(11, 7, np.int32), 11), (np.full(5000, 7, np.int32), 60)):
+        seq, at, rules = repair_codec.compress(ids, np.zeros(1, np.int64), 50257)
+        assert len(seq) <= most and repair_codec.expand(seq, rules, 50257).tolist() == ids.tolist()
+        assert max(Counter(zip(seq[:-1:2].tolist(), seq[1::2].tolist())).values(), default=0) < repair_codec.LEAST
+
+
 # ---- 10 ----
 
 
