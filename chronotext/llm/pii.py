@@ -3,8 +3,8 @@
 Base rules find e-mail and IP addresses, card and phone numbers. The field labels the words that hold a digit
 or an at sign. Its factors are a word's features, pairs of neighbouring words, and skip edges between distant
 words of the same document with the same or a similar key (equal digits, equal last seven digits, equal local
-part). Loopy belief propagation lets a clear mention settle an unclear one far away. Its spans are added where
-no base span lies; base spans stay. Texts without a digit or an at sign have no such words and are not labelled.
+part); all that are alike are linked to the first. Loopy belief propagation lets a clear mention settle an unclear
+one far away. Its spans are added, without the words that base spans touch; base spans stay. Texts without a digit or an at sign have no such words and are not labelled.
 
 The weights are fitted by pseudo-likelihood on sentences made here from a fixed seed, so they depend on no data.
 
@@ -28,8 +28,9 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Rounds of message passing, and the belief that one of a span's words needs (of all it is the likeliest label).
-ROUNDS, BELIEF = 8, 0.9
+#: The belief that one of a span's words needs (of all it is the likeliest label). A text's messages are passed until
+#: none moves by more than STILL; ROUNDS ends it for fields that never rest.
+BELIEF, STILL, ROUNDS = 0.9, 1e-6, 500
 
 _DIGIT = re.compile(rb"[0-9@]")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -123,31 +124,39 @@ def graph(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int,
             digits = "".join(c for c in text[places[start][0] : places[i - 1][1]] if "0" <= c <= "9") if i - start <= 5 else ""
             runs += [digits] * (i - start)
             start = i
-    last: dict[str, int] = {}
+    first: dict[str, int] = {}
     skip = set()
     for i, w in enumerate(words):
         for k in _skip_keys(w):
-            if k in last and last[k] != i:
-                skip.add((last[k], i))  # to the one before: a chain through all that are alike
-            last[k] = i
+            if first.setdefault(k, i) != i:
+                skip.add((first[k], i))  # to the first: any two that are alike are two steps apart at most
     return places, _features(words, near, runs), [(i - 1, i) for i in range(1, len(words)) if joined[i]], sorted(skip)
 
 
-def beliefs(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """Loopy belief propagation (log domain, damped): a row of label probabilities for each word."""
+def beliefs(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, weights: dict[str, np.ndarray], part: np.ndarray | None = None) -> np.ndarray:
+    """Loopy belief propagation (log domain, damped): a row of label probabilities for each word. part numbers the texts
+    of the words; a text's messages rest when its own stand still, so other texts don't matter to it."""
     node = x @ weights["node"]
     pair = np.concatenate([np.repeat(weights["chain"][None], len(chain), 0), np.repeat(weights["skip"][None], len(skip), 0)])
     a, b = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2).T
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
     pot = np.concatenate([pair, pair.transpose(0, 2, 1)])
     msg, back = np.zeros((len(src), len(LABELS))), np.roll(np.arange(len(src)), len(a))
-    for _ in range(ROUNDS if len(src) else 0):
-        total = node.astype(np.float64).copy()
-        np.add.at(total, dst, msg)
-        new = (total[src] - msg[back])[:, :, None] + pot
+    part = np.zeros(len(x), np.int64) if part is None else part
+    live = np.arange(len(src))
+    for _ in range(ROUNDS):
+        if not len(live):
+            break
+        total = node.astype(np.float64)
+        np.add.at(total, dst[live], msg[live])
+        new = (total[src[live]] - msg[back[live]])[:, :, None] + pot[live]
         top = new.max(1)
         new = top + np.log(np.exp(new - top[:, None, :]).sum(1))
-        msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+        new = 0.5 * msg[live] + 0.5 * (new - new.max(1, keepdims=True))
+        moved = np.zeros(part[-1] + 1)
+        np.maximum.at(moved, part[src[live]], np.abs(new - msg[live]).max(1))
+        msg[live] = new
+        live = live[moved[part[src[live]]] > STILL]
     total = node.astype(np.float64)
     np.add.at(total, dst, msg)
     p = np.exp(total - total.max(1, keepdims=True))
@@ -238,31 +247,43 @@ def field_spans(texts: list[str], weights: dict[str, np.ndarray], known: list[li
     base = np.cumsum([0, *(len(g[0]) for g in graphs)])
     if not base[-1]:
         return [[] for _ in texts]
-    p = beliefs(np.concatenate([g[1] for g in graphs]), *(np.array([(i + o, j + o) for g, o in zip(graphs, base, strict=False) for i, j in g[k]]).reshape(-1, 2) for k in (2, 3)), weights)
+    p = beliefs(np.concatenate([g[1] for g in graphs]), *(np.array([(i + o, j + o) for g, o in zip(graphs, base, strict=False) for i, j in g[k]]).reshape(-1, 2) for k in (2, 3)), weights, np.repeat(np.arange(len(texts)), np.diff(base)))
     out = []
     for (places, _, chain, _), o, text, have in zip(graphs, base, texts, known, strict=False):
         found, joined = [], {j for _, j in chain}
-        for i, (a, b) in enumerate(places):
+        for i in range(len(places)):
             k = int(p[o + i].argmax())
             if not k:
                 continue
-            if found and i in joined and found[-1][0] == k - 1 and found[-1][2] == places[i - 1][1]:
-                found[-1][2:] = b, max(found[-1][3], p[o + i, k])
+            if found and i in joined and found[-1][0] == k - 1 and found[-1][1][-1] == i - 1:
+                found[-1][1].append(i)
+                found[-1][2] = max(found[-1][2], p[o + i, k])
             else:
-                found.append([k - 1, a, b, p[o + i, k]])
+                found.append([k - 1, [i], p[o + i, k]])
         spans = []
         taken = sorted((s, e) for _, s, e in have)
         starts = [s for s, _ in taken]
         far = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0)
-        for k, a, b, sure in found:
+
+        def trimmed(a, b, text=text):
+            own = text[a:b]
+            return a + len(own) - len(own.lstrip(".,;:!?\"'()[]<>")), b - len(own) + len(own.rstrip(".,;:!?\"'([]<>"))
+
+        for k, run, sure in found:
             if sure < belief:
                 continue
-            own = text[a:b]
-            a += len(own) - len(own.lstrip(".,;:!?\"'()[]<>"))
-            b -= len(own) - len(own.rstrip(".,;:!?\"'([]<>"))
-            at = int(np.searchsorted(starts, b, "left"))  # known spans that start before this one's end
-            if a < b and not (at and far[at - 1] > a):
-                spans.append((k, a, b))
+            last = None
+            for i in run:  # the run's words that no known span touches
+                a, b = trimmed(*places[i])
+                at = int(np.searchsorted(starts, b, "left"))  # known spans that start before this word's end
+                if a < b and at and far[at - 1] > a:
+                    continue
+                if last == i - 1:
+                    spans[-1] = (k, spans[-1][1], places[i][1])
+                else:
+                    spans.append((k, *places[i]))
+                last = i
+        spans = [(k, a, b) for k, a, b in ((k, *trimmed(a, b)) for k, a, b in spans) if a < b]
         out.append(spans)
     return out
 

@@ -148,6 +148,22 @@ def test_skip_edges_carry_labels():
     assert pii.graph(same)[3]
 
 
+def test_field_keeps_what_base_spans_leave():
+    weights = pii.trained()
+    for text, rest in (("call 447700900123 +44 7700 900123 now", "447700900123"), ("mail a.42@corp.example.com a.42@corp now", "a.42@corp")):
+        have = pii.base_spans(text)
+        assert have and [text[a:b] for _, a, b in pii.field_spans([text], weights, [have])[0]] == [rest]
+
+
+def test_labels_are_the_same_over_many_repeats():
+    weights = pii.trained()
+    text = "call +447700900123 then\n" + "so 447700900123 said\n" * 40
+    have = pii.base_spans(text)
+    assert have
+    got = pii.field_spans([text, "room 12"], weights, [have, []])
+    assert [text[a:b] for _, a, b in got[0]] == ["447700900123"] * 40 and got[0] == pii.field_spans([text], weights, [have])[0]
+
+
 def test_pii_query_and_redaction(spark, docs):
     got = {r.doc_id: r for r in pii.find(docs.where("doc_id IS NOT NULL")).collect()}
     for i, t, *_ in odd_documents():
