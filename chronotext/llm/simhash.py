@@ -35,6 +35,11 @@ SAMPLE, SHARD, MAX_SHARDS = 20_000, 16_000, 4096
 BLOCK = 1024
 #: Words of a shingle and the similarity of texts that a training set should hold once.
 COPY_SHINGLE, COPY = 5, 0.8
+#: Share of a text's shingles that a similar one of its size must share with it among the first ones.
+PREFIX = 0.1
+#: Texts in which common shingles are looked for, how often one must be found there, and how many are kept. They come last
+#: in the order of shingles; any order gives the same links.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 8_000, 3, 500_000
 
 
 def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
@@ -206,28 +211,47 @@ def similar_links(texts: DataFrame, size: int = COPY_SHINGLE, similar: float = C
     """u, v with u > v: fingerprints of texts (columns node, which names the text, fp, text) of that similarity. Enough
     links to join each component: texts that a shared pivot has already joined are not compared again."""
 
-    def explode(whole: bool):
+    spark = texts.sparkSession
+
+    def explode(common=None):
+        """key, node, fp, n of the first shingles, or key, node of all."""
+
         def rows(batches):
             for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
                 own = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", size) for x in b.column(2)]
                 n = np.array([len(h) for h in own], np.int64)
-                # of each text's shingles in one order, two similar texts share one of so many first ones
-                take = n if whole else np.where(n > 0, n - _least_common(n, similar) + 1, 0)
-                keys = np.concatenate([h[:k] for h, k in zip(own, take, strict=True)]) if len(own) else np.zeros(0, np.uint64)
+                take = n
+                if common is not None:
+                    # of each text's shingles in one order, two similar texts share at least a given number of so many first ones
+                    take = np.where(n > 0, n - _least_common(n, similar) + _least_common(n, PREFIX), 0)
+                    last = common.value
+                    for i, h in enumerate(own):
+                        late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
+                        own[i] = np.concatenate([h[~late], h[late]])[: take[i]]
+                keys = np.concatenate(own) if len(own) else np.zeros(0, np.uint64)
                 of = np.repeat(np.arange(len(own)), take)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(n[of].astype(np.int32))], ["key", "node", "fp", "n"])
+                columns = [pa.array(keys.view(np.int64)), b.column(0).take(pa.array(of))]
+                if common is not None:
+                    columns += [b.column(1).take(pa.array(of)), pa.array(n[of].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "fp", "n"][: len(columns)])
 
         return rows
 
-    schema = "key long, node long, fp long, n int"
     texts = texts.select("node", "fp", "text")
-    first = materialize(texts.mapInArrow(explode(False), schema).select("key", "node"), "first")
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-texts.count() // COMMON_SAMPLE)))) == 0)
+    often = some.mapInArrow(explode(), "key long, node long").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_LEAST)
+    often = np.array([r[0] for r in often.orderBy(F.desc("df"), "key").limit(COMMON_MOST).select("key").collect()], np.int64).view(np.uint64)
+    common = spark.sparkContext.broadcast(np.sort(often))
+    first = materialize(texts.mapInArrow(explode(common), "key long, node long, fp long, n int"), "first")
     shared = first.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    nodes = materialize(first.join(shared, "key", "left_semi").select("node").distinct(), "suspects")
+    # the other text may be smaller by the factor similar, and then shares so many less
+    enough = F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
+    nodes = first.join(shared, "key", "left_semi").groupBy("node", "fp", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough)
+    nodes = materialize(nodes.drop("shared"), "suspects")
     # the rarest shingles first, so that a common line pairs no texts that are not made of it
-    every = materialize(texts.join(nodes, "node", "left_semi").mapInArrow(explode(True), schema), "shingles")
-    common = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    sets = every.join(common, "key").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    every = materialize(texts.join(nodes, "node", "left_semi").mapInArrow(explode(), "key long, node long"), "shingles")
+    twice = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    sets = every.join(twice, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).join(nodes, "node")
     least = F.ceil(F.col("n") * similar - 1e-9).cast("int")
     sets = materialize(sets.where(F.size("keys") >= least).withColumn("take", F.size("keys") - least + 1), "sets")
     prefix = materialize(sets.select("node", "n", F.explode(F.slice("keys", 1, F.col("take"))).alias("k")).select(F.col("k.key").alias("key"), "node", "n"), "prefixes")
