@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +16,27 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Without it nothing can be written that survives an executor."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not at:
-        at = tempfile.mkdtemp(prefix="chronotext-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_chronotext"  # one machine, as in tests
         sc.setCheckpointDir(at)
     return str(at)
 
 
+def trim() -> None:
+    """Give freed memory back: a worker lives on after its task, and its executor's memory is counted with it."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+    pa.default_memory_pool().release_unused()
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/chronotext/{name}-{uuid.uuid4().hex}"
 
@@ -31,7 +46,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._chronotext = path
+    return out
+
+
+def located(df: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """(df, or a copy of it in the shared folder, and the place of each row: its file and its number there), which stays the same however often
+    df is read. Frames that don't come straight from Parquet files are written first."""
+    place = lambda d: F.struct(d.metadataColumn("_metadata")["file_path"].alias("file"), d.metadataColumn("_metadata")["row_index"].alias("row"))
+    try:
+        df.select(place(df)).schema
+    except AnalysisException:
+        df = materialize(df, name)
+    return df, place(df)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_chronotext", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

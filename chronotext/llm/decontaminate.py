@@ -1,12 +1,15 @@
 """Operator 4, benchmark decontamination by template canonicalisation.
 
 Numbers, names and units of a benchmark item become typed placeholders, and so do those of every document. The
-benchmark's windows of canonical words are a hash table (at most MAX_WINDOWS windows; a larger benchmark is taken
-in blocks of that size, each over all documents). A document's windows are probed against it. Windows that lie on one
-diagonal of document and item must fill the item's slots consistently: an item's value has one value in the
-document wherever it stands, and the other way round. So a question that is asked again with other numbers is
-found, and a text that merely shares a turn of phrase is not. A capitalised word that starts a sentence may be a
-name or not; windows that don't match as they stand, where it is none, are hashed both ways on both sides.
+benchmark's windows of canonical words are a hash table (at most MAX_WINDOWS windows, but one item at least; a larger
+benchmark is taken in blocks of that size, each over all documents, and only one block is on the executors at a time).
+A document's windows are probed against it. Windows that lie on one diagonal of document and item must fill the item's
+slots consistently: an item's value has one value in the document wherever it stands (two values may become one). So a
+question that is asked again with other numbers is found, and a text that merely shares a turn of phrase is not. Where
+no diagonal is enough, neighbouring ones count together, so a word more or less (SHIFT at most) doesn't hide a question.
+A capitalised word that starts a sentence may be a name or not; windows that don't match as they stand, where it is
+none, are hashed both ways on both sides. Any other capitalised word is read as a name, German nouns too: on both sides
+alike, so that exact copies match, but of a German item the verbs and small words are what must agree.
 
 Null and empty texts match nothing; null and repeated ids are returned as they come; empty tables give no rows;
 extra columns are kept by decontaminate() and not read by matches(). Items shorter than a window are one window.
@@ -18,43 +21,55 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import materialize, table, trim
 
 #: Words of a window; windows on one diagonal that make a match; words of an item and literal words of a window, at least.
 WINDOW, MATCHES, LEAST_ITEM, LITERALS = 8, 3, 5, 4
+#: Words that may be put in or left out between windows that count together.
+SHIFT = 2
 #: Windows in one block of the benchmark (about 40 bytes each), and words a worker remembers.
 MAX_WINDOWS, LEXICON = 1_000_000, 400_000
 
 # Words that stand for numbers, and for units of measure.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split()
-UNITS = "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent mph kmh volt volts watt watts degree degrees".split()
+NUMBERS += "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze vingt trente cent mille dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cien mil".split()
+UNITS = "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cents percent mph kmh volt volts watt watts degree degrees".split()
+UNITS += "stunde stunden tag tage tagen jahr jahre jahren kilo gramm heure heures jour jours an ans année années mètre mètres gramme grammes hora horas día días año años metro metros gramo gramos".split()
 
 _PUNCT = ".,;:!?\"'()[]{}<>«»“”‘’…"
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|st|nd|rd|th)?")
 _MEASURE = re.compile(r"[+-]?[0-9][0-9.,]*(?:[a-z]+)")
+_OPENS = tuple("+-$€£0123456789")
 _SPECIAL = {x: "\0NUM" for x in NUMBERS} | {x: "\0UNIT" for x in UNITS}
 
 
-def canonical(word: str, starts: bool) -> tuple[str, str]:
-    """(canonical form, value); a placeholder begins with a zero character."""
+def forms(word: str) -> tuple[str, str, str]:
+    """(canonical form inside a sentence, the same at its start, value); a placeholder begins with a zero character."""
     core = word.strip(_PUNCT) or word
     low = core.lower()
-    if low in _SPECIAL:
-        return _SPECIAL[low], low
-    if _NUMBER.fullmatch(low):
-        return "\0NUM", low
-    if (m := _MEASURE.fullmatch(low)) and low.lstrip("+-0123456789.,") in UNITS:
-        return "\0NUM\0UNIT", low
-    if core[:1].isupper() and not starts and core[1:].islower():
-        return "\0NAME", low
-    return low, low
+    if (form := _SPECIAL.get(low)) is None and low[:1] in _OPENS:
+        if _NUMBER.fullmatch(low):
+            form = "\0NUM"
+        elif _MEASURE.fullmatch(low) and low.lstrip("+-0123456789.,") in UNITS:
+            form = "\0NUM\0UNIT"
+    if form is not None:
+        return form, form, low
+    if core[:1].isupper() and core[1:].islower():
+        return "\0NAME", low, low
+    return low, low, low
+
+
+def canonical(word: str, starts: bool) -> tuple[str, str]:
+    mid, start, value = forms(word)
+    return (start if starts else mid), value
 
 
 class Lexicon(dict):
@@ -67,9 +82,10 @@ class Lexicon(dict):
         if (n := len(self)) == len(self.mid):
             self.mid, self.start, self.value, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.mid, self.start, self.value, self.ends))
         text = word.decode()
-        for to, starts in ((self.mid, False), (self.start, True)):
-            form, value = canonical(text, starts)
-            to[n], self.value[n] = xxhash.xxh64_intdigest(form), xxhash.xxh64_intdigest(value)
+        mid, start, value = forms(text)
+        h = self.value[n] = xxhash.xxh64_intdigest(value)
+        self.mid[n] = h if mid is value else xxhash.xxh64_intdigest(mid)
+        self.start[n] = h if start is value else xxhash.xxh64_intdigest(start)
         self.ends[n] = text.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
         self[word] = n
         return n
@@ -170,7 +186,7 @@ class Block:
         stand if these are enough, else in all readings."""
         ends = np.cumsum(sizes)
         plain, named, row = codes
-        diagonals: dict[tuple[int, int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
+        diagonals: dict[tuple[int, int], dict[int, tuple[set[int], set[int]]]] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
         for size in self.sizes:
             for place, h, stands in window_readings(plain, named, size):
                 some = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -181,7 +197,7 @@ class Block:
                 for p, d, i, j in zip(at[fit], doc[fit], lo[fit], hi[fit], strict=True):
                     for k, q, own in self.where[i:j]:
                         if self.size[k] == size:
-                            as_is, all_ = diagonals[int(d), int(k), int(p) - int(q)]
+                            as_is, all_ = diagonals[int(d), int(k)][int(p) - int(q)]
                             all_.add(int(q))
                             if own and stands:
                                 as_is.add(int(q))
@@ -196,25 +212,38 @@ class Block:
                     if self.size[k] == size and p + len(item) <= ends[d] and (len(item) > 1 or sizes[d] == 1):
                         if [canonical(w.decode(), True)[1] for w in words[p : p + len(item)]] == [v for _, v in item]:
                             out[d, k] = (1, False)
-        for (d, k, shift), (as_is, all_) in diagonals.items():
-            places, read = (as_is, False) if len(as_is) >= self.need[k] else (all_, True)
-            if len(places) < self.need[k]:
-                continue
-            covered = sorted({q + j for q in places for j in range(self.size[k])})
-            there: dict[tuple[str, str], str] = {}
-            back: dict[tuple[str, str], str] = {}
-            consistent, other = True, False
-            for q in covered:
+        for (d, k), of in diagonals.items():
+            shifts = sorted(of)
+            found = [m for x in shifts if (m := self._match(k, {x: of[x]}, words))]
+            if not found and len(shifts) > 1:
+                # runs of neighbouring diagonals: words were put in or left out between their windows
+                cuts = [0, *(i for i in range(1, len(shifts)) if shifts[i] - shifts[i - 1] > SHIFT), len(shifts)]
+                found = [m for i, j in zip(cuts, cuts[1:], strict=False) if j - i > 1 and (m := self._match(k, {x: of[x] for x in shifts[i:j]}, words))]
+            if found:
+                out[d, k] = max(found)
+        return [(d, k, n, other) for (d, k), (n, other) in sorted(out.items())]
+
+    def _match(self, k: int, of: dict[int, tuple[set[int], set[int]]], words: list[bytes]) -> tuple[int, bool] | None:
+        """(windows, whether a slot has another value) of item k on these diagonals, if enough windows match and they are consistent."""
+        as_is = {x: own for x, (own, _) in of.items()}
+        read = len(set().union(*as_is.values())) < self.need[k]
+        places = {x: every for x, (_, every) in of.items()} if read else as_is
+        n = len(set().union(*places.values()))
+        if n < self.need[k]:
+            return None
+        there: dict[tuple[str, str], str] = {}
+        other = False
+        for shift, at in places.items():
+            for q in sorted({q + j for q in at for j in range(self.size[k])}):
                 kind, value = self.values[k][q]
                 if read and q in self.names[k]:
                     kind = "\0NAME"
                 if kind.startswith("\0"):
                     own = (words[shift + q].decode().strip(_PUNCT) or words[shift + q].decode()).lower()
-                    consistent &= there.setdefault((kind, value), own) == own and back.setdefault((kind, own), value) == value
+                    if there.setdefault((kind, value), own) != own:
+                        return None
                     other |= own != value
-            if consistent and (d, k) not in out or consistent and out[d, k][0] < len(places):
-                out[d, k] = (len(places), other)
-        return [(d, k, n, other) for (d, k), (n, other) in sorted(out.items())]
+        return n, other
 
     def scan(self, column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, int, bool]]:
         """probe() over a column of texts, several at once."""
@@ -247,22 +276,52 @@ def blocks(benchmark: DataFrame, most: int = MAX_WINDOWS) -> Iterator[Block]:
         yield Block(held)
 
 
+def _over_blocks(spark: SparkSession, benchmark: DataFrame, apply: Callable[[DataFrame | None, Broadcast], DataFrame], name: str) -> DataFrame | None:
+    """apply(what the blocks before gave, a block) for each block. Of several, each one's result is written before the next is sent out, and the
+    block is taken off the executors."""
+    out, each = None, blocks(benchmark)
+    block = next(each, None)
+    while block is not None:
+        after = next(each, None)
+        shared = spark.sparkContext.broadcast(block)
+        several = out is not None or after is not None
+        out = apply(out, shared)
+        if several:
+            out = materialize(out, name)
+            shared.destroy()
+        block = after
+    return out
+
+
+def _task(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words that a task has met are forgotten at its end."""
+
+    def rows(batches):
+        try:
+            yield from of(batches)
+        finally:
+            _LEXICON[0] = Lexicon()
+            trim()
+
+    return rows
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, n_windows and reparameterised: a row for each document and item that it holds."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, item_id long, n_windows int, reparameterised boolean"
-    out = None
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
 
-        def rows(batches, shared=shared):
+    def apply(before: DataFrame | None, shared: Broadcast) -> DataFrame:
+        def rows(batches):
             for b in batches:
                 if found := list(shared.value.scan(b.column(1))):
                     doc, item, n, other = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array([shared.value.items[k][0] for k in item], pa.int64()), pa.array(n, pa.int32()), pa.array(other, pa.bool_())], [id_col, "item_id", "n_windows", "reparameterised"])
 
-        part = docs.select(id_col, text_col).mapInArrow(rows, schema)
-        out = part if out is None else out.unionByName(part)
+        part = docs.select(id_col, text_col).mapInArrow(_task(rows), schema)
+        return part if before is None else before.unionByName(part)
+
+    out = _over_blocks(spark, benchmark, apply, "matches")
     return spark.createDataFrame([], schema) if out is None else out
 
 
@@ -270,17 +329,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """docs without those that hold a benchmark item."""
     at = docs.columns.index(text_col)
     schema = docs.schema
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def rows(batches, shared=shared):
+    def apply(before: DataFrame | None, shared: Broadcast) -> DataFrame:
+        def rows(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[d for d, *_ in shared.value.scan(b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(rows, schema)
-    return docs
+        return (docs if before is None else before).mapInArrow(_task(rows), schema)
+
+    out = _over_blocks(docs.sparkSession, benchmark, apply, "clean")
+    return docs if out is None else out
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

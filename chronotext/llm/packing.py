@@ -38,20 +38,22 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_i
     """doc_id, piece, start, length, ids_crc32: only documents of more than max_tokens ids are cut, the remainder first."""
 
     def cut(batches):
-        encoder = Encoder.of(vocabulary)
-        for b in batches:
-            ids, text = b.column(0), b.column(1)
-            for first, tokens, off in encoder.batches(text):
-                out: list[tuple] = []
-                for k in range(len(off) - 1):
-                    own = np.append(tokens[off[k] : off[k + 1]], np.int32(end_id)).astype("<u4")
-                    n, piece, start = len(own), 0, 0
-                    while start < n:
-                        end = start + (n % max_tokens or max_tokens if start == 0 else max_tokens)
-                        out.append((first + k, piece, start, end - start, zlib.crc32(own[start:end])))
-                        piece, start = piece + 1, end
-                row, piece_, start_, length, crc = (np.array(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(piece_, pa.int32()), pa.array(start_, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with Encoder.task(vocabulary) as encoder:
+            for b in batches:
+                ids, text = b.column(0), b.column(1)
+                for first, tokens, off in encoder.batches(text):
+                    n_docs = len(off) - 1
+                    n = np.diff(off) + 1
+                    own = np.insert(tokens, off[1:], np.int32(end_id)).astype("<u4")
+                    many = -(-n // max_tokens)
+                    doc = np.repeat(np.arange(n_docs), many)
+                    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                    head = (n - (many - 1) * max_tokens)[doc]  # the first piece may be shorter
+                    start = np.where(piece, head + (piece - 1) * max_tokens, 0)
+                    length = np.where(piece, max_tokens, head)
+                    at = (np.cumsum(n) - n)[doc] + start
+                    crc = np.fromiter((zlib.crc32(own[i:j]) for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(doc))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -1,16 +1,19 @@
 """Operator 5, quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule is a rejecting predicate over a document's measures or its text. On a sample of rows the operator
-times every rule and counts what it rejects, orders the rules by rejections per cost, and compiles them to one
-CASE WHEN, which evaluates a rule only for rows that no earlier rule has rejected. The order changes the cost
-and which rule is named first, never the verdict.
+Each rule is a rejecting predicate over a few measures of the text. On rows drawn from the whole table the operator times
+every rule from the text and counts what it rejects, orders the rules by rejections per cost, and compiles them to a
+nest of CASE WHEN: a measure is worked out once, where the first rule needs it, and only for rows that no earlier rule
+has rejected. The order changes the cost and which rule is named first, never the verdict. Where all measures are asked
+for anyway (apply_rules), they are worked out once and the same cascade reads them.
 
 Null and empty texts have no words (so they fail); rows with a null or repeated id are all returned; an empty
-table gives no rows; columns other than the id and the text are not read.
+table gives no rows; columns other than the text are not read by the rules. A text is measured within one row, so its
+memory grows with the longest text.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,12 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, materialize, release, table
 
 #: Words of a window, and the base limits: fewest words, percent of words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Rows on which cost and selectivity are estimated, and how often each is taken to get above the timer's noise.
-SAMPLE_ROWS, SAMPLE_COPIES = 200, 20
+#: Rows, about, on which cost and selectivity are estimated, drawn from the whole table; how often a rule is timed (the least counts).
+SAMPLE_ROWS, TIMED = 3000, 3
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -32,25 +35,36 @@ ADDED = (*MEASURES, "rejected_by", "kept", "_v")
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: from a struct of the measures and the text, true for a row to reject."""
+    """needs: names of measures; rejects: from a getter of them, true for a row to reject."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    needs: tuple[str, ...]
+    rejects: Callable[[Callable[[str], Column]], Column]
 
 
 def rules() -> list[Rule]:
     """The default rules. Their limits leave ordinary prose, tables and lists far inside."""
-    words = lambda m: F.greatest(m["n_words"], F.lit(1))
+    few = lambda m: F.greatest(m("n_words"), F.lit(1))
     return [
-        Rule("few_words", lambda m: m["n_words"] < LEAST_WORDS),
-        Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]),
-        Rule("symbols", lambda m: m["n_symbols"] > words(m)),
-        Rule("duplicate_lines", lambda m: (m["n_dup_lines"] >= 4) & (2 * m["n_dup_lines"] > m["n_lines"])),
-        Rule("word_length", lambda m: (m["word_chars"] > 20 * words(m)) | (m["word_chars"] < 2 * words(m))),
-        Rule("letters", lambda m: 10 * F.length(F.regexp_replace(m["text"], r"[^\p{L}]++", "")) < 4 * m["word_chars"]),
+        Rule("few_words", ("n_words",), lambda m: m("n_words") < LEAST_WORDS),
+        Rule("repeated_windows", ("n_words", "n_repeat_words"), lambda m: 100 * m("n_repeat_words") > MOST_REPEATED * m("n_words")),
+        Rule("symbols", ("n_words", "n_symbols"), lambda m: m("n_symbols") > few(m)),
+        Rule("duplicate_lines", ("lines",), lambda m: (m("lines")["n_dup_lines"] >= 4) & (2 * m("lines")["n_dup_lines"] > m("lines")["n_lines"])),
+        Rule("word_length", ("n_words", "word_chars"), lambda m: (m("word_chars") > 20 * few(m)) | (m("word_chars") < 2 * few(m))),
+        Rule("letters", ("word_chars", "n_letters"), lambda m: 10 * m("n_letters") < 4 * m("word_chars")),
     ]
 
 
+def without(text: Column, pattern: str) -> Column:
+    """Characters that are left without a pattern's matches."""
+    return F.length(F.regexp_replace(text, pattern, "")).cast("long")
+
+
+def n_words(text: Column) -> Column:
+    """Words are counted by their first characters, without an array of them."""
+    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]*+([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+|[\x20\x09-\x0D]++", "$1")).cast("long")
+
+
 def _covered(windows: Column) -> Column:
     """Words in windows that occur twice: sort (hash, place), keep those equal to a neighbour, measure the union."""
 
@@ -66,62 +80,102 @@ def _covered(windows: Column) -> Column:
     return let(ordered, lambda s: let(F.array_sort(repeated(s)), union))
 
 
-def measures(text: Column) -> Column:
-    """A struct of MEASURES and the text, as one expression: a filter on it, which Spark moves down, costs it only once."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]++"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-
-    def of_words(w: Column) -> Column:
+def n_repeat_words(text: Column) -> Column:
+    def of(w: Column) -> Column:
         n = F.size(w)
         # a window's hash is made of its halves' hashes: three passes, whatever the window's length
         step = lambda h, k: F.zip_with(h, F.slice(h, k + 1, F.greatest(F.size(h) - k, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
         whole = lambda h, k: F.slice(h, 1, F.greatest(F.size(h) - k, F.lit(0)))
         h1 = F.transform(w, lambda x: F.xxhash64(x))
         windows = let(h1, lambda a: let(whole(step(a, 1), 1), lambda b: let(whole(step(b, 2), 2), lambda c: whole(step(c, 4), 4))))
-        twice = F.when(n > WINDOW, let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long")))).otherwise(F.lit(0).cast("long"))
-        return F.struct(n.cast("long").alias("n_words"), twice.alias("n_repeat_words"))
+        return F.when(n > WINDOW, let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long")))).otherwise(F.lit(0).cast("long"))
 
-    of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    out = F.struct(
-        let(words, of_words).alias("w"), let(lines, of_lines).alias("l"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]++", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
-    )
-    flat = lambda m: F.struct(m["w"]["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_lines"].alias("n_lines"), m["l"]["n_dup_lines"].alias("n_dup_lines"), m["w"]["n_repeat_words"].alias("n_repeat_words"), text.alias("text"))
-    return let(out, flat)
+    return let(F.array_remove(F.split(text, r"[\x20\x09-\x0D]++"), ""), of)
 
 
-def order_rules(docs: DataFrame, given: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on the sample, most first (ties: as given)."""
-    sample = docs.select(measures(F.col(text_col)).alias("m")).limit(rows)
-    found = sample.collect()
-    if not found:
-        return given
-    few = docs.sparkSession.createDataFrame(found, sample.schema).coalesce(1).select("m", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_COPIES))).alias("copy"))
+def of_lines(text: Column) -> Column:
+    """n_lines (with a word), n_dup_lines."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
 
-    def timed(c: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = few.agg(F.count_if(c)).collect()[0][0]
-        return time.perf_counter() - began, n
 
-    timed(F.lit(False))
-    floor = timed(F.col("m.n_words") < 0)[0]
-    cost = [(max(1e-4, t - floor), n, k) for k, (t, n) in enumerate(timed(r.rejects(F.col("m"))) for r in given)]
-    return [given[k] for _, _, k in sorted((-n / t, t, k) for t, n, k in cost)]
+#: Measures by name, each from a text that isn't null.
+MEASURE: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words,
+    "n_repeat_words": n_repeat_words,
+    "lines": of_lines,
+    "word_chars": lambda t: without(t, r"[\x20\x09-\x0D]++"),
+    "n_symbols": lambda t: without(t, r"[^#*$%&|<>]++"),
+    "n_letters": lambda t: without(t, r"[^\p{L}]++"),
+}
 
 
-def cascade(ordered: list[Rule], m: Column) -> Column:
-    """Name of the first rule, in this order, that rejects; null if none does."""
-    out = F.when(F.lit(False), F.lit(""))
-    for r in ordered:
-        out = out.when(F.coalesce(r.rejects(m), F.lit(False)), F.lit(r.name))
-    return out
+def cascade(ordered: list[Rule], text: Column, known: dict[str, Column] | None = None) -> Column:
+    """Name of the first rule, in this order, that rejects; null if none does. known: measures that are there already."""
+    known = dict(known or {})
+    if not ordered:
+        return F.lit(None).cast("string")
+    rule, rest = ordered[0], ordered[1:]
+    missing = [k for k in rule.needs if k not in known]
+
+    def judge(m: Column | None) -> Column:
+        have = known | {k: m[k] for k in missing}
+        return F.when(F.coalesce(rule.rejects(have.__getitem__), F.lit(False)), F.lit(rule.name)).otherwise(cascade(rest, text, have))
+
+    return let(F.struct(*(MEASURE[k](text).alias(k) for k in missing)), judge) if missing else judge(None)
+
+
+def rejected_by(text: Column, ordered: list[Rule]) -> Column:
+    """The cascade from the text alone."""
+    return let(F.coalesce(text, F.lit("")), lambda t: cascade(ordered, t))
 
 
 def verdict(text: Column, ordered: list[Rule]) -> Column:
-    """A struct of MEASURES and rejected_by."""
-    return let(measures(text), lambda m: F.struct(*(m[k].alias(k) for k in MEASURES), cascade(ordered, m).alias("rejected_by")))
+    """A struct of MEASURES and rejected_by, as one expression: a filter on it, which Spark moves down, costs it only once."""
+    every = [k for k in MEASURE if k != "n_letters"]
+
+    def flat(t: Column) -> Column:
+        have = lambda m: {k: m[k] for k in every}
+        field = lambda m, k: m["lines"][k] if k.endswith("_lines") else m[k]
+        return let(F.struct(*(MEASURE[k](t).alias(k) for k in every)), lambda m: F.struct(*(field(m, k).alias(k) for k in MEASURES), cascade(ordered, t, have(m)).alias("rejected_by")))
+
+    return let(F.coalesce(text, F.lit("")), flat)
+
+
+def estimates(docs: DataFrame, given: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[float, float]]:
+    """(seconds a row, share rejected) of each rule, on about so many rows drawn by Spark's Bernoulli sampling from the whole table. They stay in
+    the shared folder; only counts come to the driver. (0, 0) for all where nothing was drawn."""
+    n = docs.count()
+    drawn = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).sample(min(1.0, 1.2 * rows / max(n, 1)), seed=5)
+    few = materialize(drawn, "sample")
+    size = few.count()
+
+    def timed(c: Column) -> tuple[float, int]:
+        began = time.perf_counter()
+        hits = few.agg(F.count_if(c)).collect()[0][0]
+        return time.perf_counter() - began, hits
+
+    out = [(0.0, 0.0)] * len(given)
+    if size:
+        # round after round, so that no rule alone pays for the JVM's warming up
+        every = [F.length("t") < 0, *(rejected_by(F.col("t"), [r]).isNotNull() for r in given)]
+        floor, *found = [min(t) for t in zip(*([timed(c) for c in every] for _ in range(TIMED)), strict=True)]
+        out = [(max(1e-3, t - floor[0]) / size, hits / size) for t, hits in found]
+    release(few)
+    return out
+
+
+def order_rules(docs: DataFrame, given: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejections per second on the sample, most first. Ratios are compared in powers of four (ties: as given), so that the clock's noise
+    doesn't reorder them."""
+    found = estimates(docs, given, text_col, rows)
+    rank = [-round(math.log(share / seconds, 4)) if share else math.inf for seconds, share in found]
+    return [given[k] for k in sorted(range(len(given)), key=lambda k: (rank[k], k))]
+
+
+def keep(docs: DataFrame, text_col: str = "text", given: list[Rule] | None = None) -> DataFrame:
+    """docs without the rows that a rule rejects; no column is added, so none can clash."""
+    return docs.where(rejected_by(docs[text_col], order_rules(docs, given or rules(), text_col)).isNull())
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", given: list[Rule] | None = None) -> DataFrame:

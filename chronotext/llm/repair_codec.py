@@ -168,7 +168,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     vocabulary = vocabulary or default_vocabulary()
 
     def shards(batches):
-        encoder, part, shard = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
+        part, shard = TaskContext.get().partitionId(), 0
         first = len(encoder.id_bytes)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 

@@ -2,20 +2,25 @@
 
 Texts are cut where a single space stands between two non-space characters. There the pre-tokeniser always
 starts a new piece, so a chunk has the same ids wherever it occurs. Chunks of a batch are dictionary-encoded
-by Arrow; only chunks that this worker has not met are given to the tokenizer, strung together.
+by Arrow; only chunks that this task has not met are given to the tokenizer, strung together. What is
+remembered is bounded in bytes and released when a task ends, so that idle workers hold none of it.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: Chunks kept by a worker (about 170 bytes each); then the cache starts afresh. It changes speed only.
-CACHE_ENTRIES = 1_200_000
+from .common import trim
+
+#: Bytes of chunks and ids kept (an entry takes ENTRY_BYTES besides); beyond it the cache starts afresh. It changes speed only.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 140
 #: Bytes of text encoded at once, one document at least.
 BATCH_BYTES = 8 << 20
 #: Chunks strung together; the library is fastest on texts of about 2 kB.
@@ -50,8 +55,20 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    @classmethod
+    @contextmanager
+    def task(cls, path: str) -> Iterator[Encoder]:
+        """The worker's encoder for the time of a task; what it has learned is released at the end."""
+        own = cls.of(path)
+        try:
+            yield own
+        finally:
+            own._reset()
+            trim()
+
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.store, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
@@ -66,6 +83,7 @@ class Encoder:
         self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
         self.lens[n : n + k] = lens
         self.used += len(ids)
+        self.bytes += 4 * len(ids) + ENTRY_BYTES * k + sum(map(len, chunks))
         self.index.update(zip(chunks, range(n, n + k), strict=True))
 
     def _learn(self, missing: list[bytes]) -> None:
@@ -101,7 +119,7 @@ class Encoder:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         unique = coded.dictionary.to_pylist()
-        if len(self.index) + len(unique) > CACHE_ENTRIES:
+        if self.bytes > CACHE_BYTES:
             self._reset()
         missing = [c for c in unique if c not in self.index]
         if missing:
