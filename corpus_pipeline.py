@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences: five stages, each one operator over all that the last kept.
 
 Every stage but the last returns the columns of documents. Null and empty texts fall to the quality rules; rows
-that are equal in every column count as copies of each other; an empty table passes through all stages; extra
-columns are carried along up to the last stage.
+that are equal in every column are copies of each other, of which one stays; an empty table passes through all stages;
+extra columns, of any type and name, are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,28 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import materialize, table
+from chronotext.llm.common import located, materialize, release, table
 from chronotext.llm.decontaminate import decontaminate
 from chronotext.llm.packing import pack
 from chronotext.llm.pii import redact
-from chronotext.llm.quality_rules import apply_rules
+from chronotext.llm.quality_rules import keep
 from chronotext.llm.simhash import COPY, near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that the cascade rejects go."""
-    judged = apply_rules(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"]))
-    return judged.where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return keep(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, with links of 5-word Jaccard 0.8 or more: of each component the row with the smallest doc_id stays (null ids last)."""
-    key = F.xxhash64(*(docs[c] for c in docs.columns))
-    groups = near_duplicates(docs.select("doc_id", "text", key.alias("_row")), keep=("_row",), similar=COPY)
-    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    stay = first.select(F.col("first._row").alias("_row"))
-    kept = docs.withColumn("_row", key).join(stay, "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    """Operator 10, with links of 5-word Jaccard 0.8 or more: of each component the row with the smallest doc_id stays (null ids last; of
+    equal ids the one that is first in the files). A row is known by its file and its place there; whole rows are read again
+    only to take those that stay."""
+    docs, place = located(docs, "documents")
+    groups = near_duplicates(docs.select("doc_id", "text", place.alias("_place")), keep=("_place",), similar=COPY)
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place")).alias("first"))
+    stay = materialize(first.select("first._place.*"), "stay")
+    return docs.join(stay, (place["file"] == stay["file"]) & (place["row"] == stay["row"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
