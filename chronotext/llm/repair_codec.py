@@ -2,9 +2,10 @@
 
 Documents are dealt to partitions by ranges of their id and sorted; each partition is cut into shards. In a
 shard, rounds replace the most frequent adjacent id pairs by new symbols (never across documents) until no pair
-is found often enough to pay for its rule. The shard
+is found often enough to pay for its rule. Pairs are counted over the whole shard once; from then on only places where a
+pair is frequent, or which a replacement has changed, are counted again. The shard
 stores its rules round by round, the length that each rule expands to, and where each document starts both
-in the grammar's sequence and in the expanded ids, so one document is decoded from its own slice.
+in the grammar's sequence and in the expanded ids, so one document, or a part of one, is decoded from its own slice.
 
 A shard is one binary value in a file that Spark writes, so a lost task is simply run again. Null texts are
 empty (only the end id); rows with a null id come first; repeated rows are all written; an empty table gives
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,81 +33,123 @@ SHARD_IDS = 1 << 20
 #: Pairs replaced in a round, and how often a pair must be replaced: a rule takes 16 bytes, each use of it saves 3.
 PAIRS, LEAST = 8192, 6
 MAGIC = b"RPG1"
-_HASH_BITS = 20
+_HASH_BITS = 18
 
 
 def _slots(code: np.ndarray) -> np.ndarray:
     return ((code * np.int64(-7046029254386353131)) >> np.int64(64 - _HASH_BITS)) & ((1 << _HASH_BITS) - 1)
 
 
-def _frequent(code: np.ndarray, slot: np.ndarray, most: int, spent: np.ndarray) -> np.ndarray:
-    """The most frequent pair codes, exactly counted, sorted by code, without spent ones. Hashed counts only rule pairs out: no pair occurs
-    more often than its slot."""
-    often = np.bincount(slot, minlength=1 << _HASH_BITS)
-    room = 2 * most + len(spent)
-    some = often[often >= LEAST]
-    least = max(LEAST, int(np.partition(some, -room)[-room])) if len(some) > room else LEAST
-    pairs, counts = np.unique(code[often[slot] >= least], return_counts=True)
-    counts[np.isin(pairs, spent)] = 0
-    keep = np.argsort(-counts, kind="stable")[:most]
-    return np.sort(pairs[keep[counts[keep] >= LEAST]])
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pair codes (not negative) that are there LEAST times, sorted; how often each is there."""
+    s = np.sort(code)
+    edges = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
+    counts = np.diff(edges)
+    often = np.flatnonzero((counts >= LEAST) & (s[edges[:-1]] >= 0)) if len(s) else np.zeros(0, np.int64)
+    return s[edges[often]], counts[often]
+
+
+def _found(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of codes that are among the sorted pairs, which pair each is)."""
+    table = np.full(1 << _HASH_BITS, -1, np.int32)
+    table[_slots(pairs)] = np.arange(len(pairs))
+    which = table[_slots(code)]
+    near = np.flatnonzero(which >= 0)
+    which = which[near]
+    off = np.flatnonzero(pairs[which] != code[near])  # another pair of the slot, or none
+    if len(off):
+        which[off] = np.minimum(np.searchsorted(pairs, code[near[off]]), len(pairs) - 1)
+        same = pairs[which] == code[near]
+        near, which = near[same], which[same]
+    return near, which
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(sequence, where documents start in it, rules of each round as rows left, right)."""
-    seq, at, rules, symbol = ids.astype(np.int32), starts.astype(np.int64), [], first_symbol
-    most, spent = PAIRS, np.zeros(0, np.int64)
-    while len(seq) > LEAST:
-        inside = np.ones(len(seq), bool)
-        inside[at[1:] - 1] = inside[-1] = False
-        place = np.flatnonzero(inside)  # pairs that stay in one document
-        code = (seq[place].astype(np.int64) << 32) | seq[place + 1]
-        slot = _slots(code)
-        pairs = _frequent(code, slot, most, spent)
+    n, rules, symbol = len(ids), [], first_symbol
+    seq, starts = ids.astype(np.int32), starts.astype(np.int64)
+    if n < 2:
+        return seq, starts, rules
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alone, gone = np.zeros(n, bool), np.zeros(n, bool)  # begins no pair; is the right half of a replaced one
+    alone[starts[1:] - 1] = alone[-1] = True
+    place = np.arange(n, dtype=np.int32)
+    while True:
+        place = place[~alone[place]]
+        left, right = seq[place], seq[after[place]]
+        code = (left.astype(np.int64) << 32) | right
+        # in a run of one id only every second pair can be replaced
+        alike = np.flatnonzero(left == right)
+        if len(alike):
+            new = np.concatenate([[True], after[place[alike[:-1]]] != place[alike[1:]]])
+            run_at = np.maximum.accumulate(np.where(new, np.arange(len(alike)), 0))
+            code[alike[((np.arange(len(alike)) - run_at) & 1) == 1]] = -1
+        pairs, counts = _counted(code)
         if not len(pairs):
             break
-        marked = np.zeros(1 << _HASH_BITS, bool)
-        marked[_slots(pairs)] = True
-        near = np.flatnonzero(marked[slot])
-        rule = np.searchsorted(pairs, code[near])
-        match = pairs[np.minimum(rule, len(pairs) - 1)] == code[near]
-        hit, rule = place[near[match]], rule[match]
-        # of pairs that overlap, the first, third, ... of the run are replaced
-        new = np.diff(hit, prepend=-9) > 1
-        run_at = np.maximum.accumulate(np.where(new, np.arange(len(hit)), 0))
-        odd = ((np.arange(len(hit)) - run_at) & 1).astype(bool)
-        hit, rule = hit[~odd], rule[~odd]
+        near, rule = _found(code, pairs)
+        place = place[near]
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
+        hit = place
+        if len(pairs) > PAIRS:
+            own = rank[rule] < PAIRS
+            hit, rule = place[own], rule[own]
+        # of pairs that overlap the more frequent are replaced, so the most frequent of all gives way to none
+        worth = rank[rule]
+        apart = np.concatenate([[True], after[hit[:-1]] != hit[1:], [True]])
+        better = worth[1:] < worth[:-1]
+        win = (apart[:-1] | np.concatenate([[False], better])) & (apart[1:] | np.concatenate([~better, [False]]))
+        hit, rule = hit[win], rule[win]
         # a pair that overlaps others may be left too few places for its rule to pay
         pays = np.bincount(rule, minlength=len(pairs)) >= LEAST
-        if not pays.any():
-            if most == 1:  # a run of one id, which is all that a pair alone can overlap
-                spent = np.append(spent, pairs)
-            most = max(1, most // 64)
-            continue
-        most = PAIRS
-        hit, rule, pairs = hit[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]], pairs[pays]
+        own = pays[rule]
+        hit, rule, pairs = hit[own], (np.cumsum(pays) - 1)[rule[own]], pairs[pays]
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1).astype(np.int32))
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
+        right = after[hit]
+        far = after[right]
         seq[hit] = symbol + rule
         symbol += len(pairs)
-        at = (np.cumsum(keep) - keep)[at]
-        seq = seq[keep]
-    return seq, at, rules
+        alone[hit], alone[right], gone[right] = alone[right], True, True
+        after[hit] = far
+        inside = far < n
+        before[far[inside]] = hit[inside]
+        left = before[hit]
+        more = np.concatenate([place, hit, left[left >= 0]])
+        if len(more) > n // 16:
+            mark = np.zeros(n, bool)
+            mark[more] = True
+            place = np.flatnonzero(mark)
+        else:
+            place = np.unique(more)
+    kept = ~gone
+    return seq[kept], (np.cumsum(kept) - kept)[starts], rules
+
+
+class Grammar:
+    """Expands symbols. The stored lengths say where each rule's ids stand in one table of all rules' expansions."""
+
+    def __init__(self, rules: list[np.ndarray], lengths: np.ndarray, first_symbol: int):
+        self.first, self.rules = first_symbol, np.concatenate([np.zeros((0, 2), np.int32), *rules])
+        self.lens = np.concatenate([np.ones(first_symbol, np.int64), lengths])
+        self.at = np.concatenate([np.arange(first_symbol), first_symbol + np.cumsum(lengths) - lengths]).astype(np.int64)
+        self.ids = np.zeros(first_symbol + int(lengths.sum()), np.int32)
+        self.ids[:first_symbol] = np.arange(first_symbol)
+        done = 0
+        for rows in rules:
+            a = self.at[first_symbol + done]
+            out = self.expand(rows.ravel())
+            self.ids[a : a + len(out)] = out
+            done += len(rows)
+
+    def expand(self, seq: np.ndarray) -> np.ndarray:
+        lens = self.lens[seq]
+        ends = np.cumsum(lens)
+        return self.ids[np.repeat(self.at[seq] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def expand(seq: np.ndarray, rules: list[np.ndarray], first_symbol: int) -> np.ndarray:
-    symbol = first_symbol + sum(map(len, rules))
-    for rows in reversed(rules):
-        symbol -= len(rows)
-        inner = seq >= symbol
-        reps = 1 + inner
-        ends = np.cumsum(reps)
-        out = np.repeat(seq, reps)
-        pair = rows[seq[inner] - symbol]
-        out[ends[inner] - 2], out[ends[inner] - 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    return Grammar(rules, rule_lengths(rules, first_symbol), first_symbol).expand(seq)
 
 
 def rule_lengths(rules: list[np.ndarray], first_symbol: int) -> np.ndarray:
@@ -127,7 +171,7 @@ def pack_shard(doc_ids: list, ids: np.ndarray, starts: np.ndarray, first_symbol:
 
 
 class Shard:
-    """Reads pack_shard's bytes; document(k) decodes one document without the others."""
+    """Reads pack_shard's bytes; document(k) decodes one document without the others, slice(k, a, b) a part of it."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -155,12 +199,36 @@ class Shard:
         low, high = take(np.uint16, n_seq), take(np.uint8, n_seq)
         self.seq = low.astype(np.int32) | (high.astype(np.int32) << 16)
 
+    @cached_property
+    def grammar(self) -> Grammar:
+        return Grammar(self.rules, self.lengths, self.first)
+
+    def _own(self, k: int) -> np.ndarray:
+        return self.seq[self.at[k] : self.at[k + 1] if k + 1 < self.n_docs else len(self.seq)]
+
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        return self.grammar.expand(self.seq)
 
     def document(self, k: int) -> np.ndarray:
-        end = self.at[k + 1] if k + 1 < self.n_docs else len(self.seq)
-        return expand(self.seq[self.at[k] : end], self.rules, self.first)
+        return self.grammar.expand(self._own(k))
+
+    def slice(self, k: int, a: int, b: int) -> list[int]:
+        """Ids a to b of document k: the stored lengths lead to the symbols at both ends, and down their rules; nothing outside is expanded."""
+        own, rules, out = self._own(k), np.concatenate([np.zeros((0, 2), np.int32), *self.rules]), []
+        length = lambda s: 1 if s < self.first else int(self.lengths[s - self.first])
+        ends = np.cumsum([length(s) for s in own.tolist()])
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1
+        stack = [(s, int(e) - length(s)) for s, e in zip(own[i:j].tolist(), ends[i:j], strict=True)][::-1]
+        while stack:
+            s, at = stack.pop()
+            if at >= b or at + length(s) <= a:
+                continue
+            if s < self.first:
+                out.append(s)
+            else:
+                left, right = rules[s - self.first].tolist()
+                stack += [(right, at + length(left)), (left, at)]
+        return out
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -168,6 +236,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     vocabulary = vocabulary or default_vocabulary()
 
     def shards(batches):
+        with Encoder.task(vocabulary) as encoder:
+            yield from packed(batches, encoder)
+
+    def packed(batches, encoder):
         part, shard = TaskContext.get().partitionId(), 0
         first = len(encoder.id_bytes)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import pyarrow.compute
 from .common import trim
 
 #: Bytes of chunks and ids kept (an entry takes ENTRY_BYTES besides); beyond it the cache starts afresh. It changes speed only.
-CACHE_BYTES, ENTRY_BYTES = 128 << 20, 140
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 40
 #: Bytes of text encoded at once, one document at least.
 BATCH_BYTES = 8 << 20
 #: Chunks strung together; the library is fastest on texts of about 2 kB.
@@ -33,6 +32,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _layout(binary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a large_binary array without nulls; the offsets count in the bytes."""
+    if not len(binary):
+        return np.zeros(1, np.int64), np.zeros(1, np.uint8)
+    off = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    return off - off[0], np.frombuffer(binary.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(1, np.uint8)
+
+
 class Encoder:
     """encode(texts) -> (ids of all texts as one int32 array, offsets of each text in it)."""
 
@@ -67,13 +74,12 @@ class Encoder:
             trim()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.bytes = 0
+        self.known, self.bytes = pa.array([], pa.large_binary()), 0
         self.store, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _add(self, chunks: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
-        n, k = len(self.index), len(chunks)
+    def _add(self, chunks: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        n, k = len(self.known), len(chunks)
         while self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
         while n + k > len(self.starts):
@@ -83,22 +89,32 @@ class Encoder:
         self.starts[n : n + k] = self.used + np.cumsum(lens) - lens
         self.lens[n : n + k] = lens
         self.used += len(ids)
-        self.bytes += 4 * len(ids) + ENTRY_BYTES * k + sum(map(len, chunks))
-        self.index.update(zip(chunks, range(n, n + k), strict=True))
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Ids of new chunks. Chunks from a space to a letter, digit or mark may be strung together."""
-        fits = [c[0] == 32 and (32 < c[-1] < 127 or c[-1] > 127 and 0xC3 <= c[-2] <= 0xDF) and (32 < c[1] < 127 or 0xC3 <= c[1] <= 0xDF) if len(c) > 1 else False for c in missing]
-        strung, alone = list(compress(missing, fits)), [c for c, x in zip(missing, fits, strict=True) if not x]
-        if strung:
-            texts = [b"".join(strung[i : i + STRUNG]).decode() for i in range(0, len(strung), STRUNG)]
+        self.bytes += 4 * len(ids) + ENTRY_BYTES * k + _layout(chunks)[1].nbytes
+        self.known = pa.concat_arrays([self.known, chunks])
+
+    def _learn(self, missing: pa.Array) -> np.ndarray:
+        """The entries of new chunks. Chunks from a space to a letter, digit or mark may be strung together."""
+        off, data = _layout(missing)
+        size = np.diff(off)
+        two = size > 1
+        first, second, last, before = (np.where(two, data[np.where(two, at, 0)], 0) for at in (off[:-1], off[:-1] + 1, off[1:] - 1, off[1:] - 2))
+        fits = two & (first == 32) & (((last > 32) & (last < 127)) | ((last > 127) & (before >= 0xC3) & (before <= 0xDF))) & (((second > 32) & (second < 127)) | ((second >= 0xC3) & (second <= 0xDF)))
+        entry, n = np.zeros(len(missing), np.int64), len(self.known)
+        order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
+        entry[order] = n + np.arange(len(order))
+        if k := int(fits.sum()):
+            strung = missing.take(pa.array(order[:k]))
+            off, data = _layout(strung)
+            view = memoryview(data)
+            texts = [str(view[off[i] : off[min(i + STRUNG, k)]], "utf-8") for i in range(0, k, STRUNG)]
             ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = np.cumsum(np.fromiter(map(len, strung), np.int64, len(strung)))
-            at = np.searchsorted(np.cumsum(self.id_bytes[ids]), ends, "left") + 1
+            at = np.searchsorted(np.cumsum(self.id_bytes[ids]), off[1:] - off[0], "left") + 1
             self._add(strung, ids, np.diff(at, prepend=0))
-        if alone:
-            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([c.decode() for c in alone], add_special_tokens=False)]
+        if k < len(order):
+            alone = missing.take(pa.array(order[k:]))
+            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([c.decode() for c in alone.to_pylist()], add_special_tokens=False)]
             self._add(alone, np.concatenate(found), np.array([len(x) for x in found]))
+        return entry
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -118,13 +134,13 @@ class Encoder:
         cuts = np.flatnonzero(cut)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
         if self.bytes > CACHE_BYTES:
             self._reset()
-        missing = [c for c in unique if c not in self.index]
-        if missing:
-            self._learn(missing)
-        entry = np.fromiter(map(self.index.__getitem__, unique), np.int64, len(unique))[np.asarray(coded.indices)]
+        entry = np.array(pa.compute.index_in(coded.dictionary, value_set=self.known).fill_null(-1), np.int64)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            entry[missing] = self._learn(coded.dictionary.take(pa.array(missing)))
+        entry = entry[np.asarray(coded.indices)]
         lens = self.lens[entry].astype(np.int64)
         ends = np.cumsum(lens)
         ids = self.store[np.repeat(self.starts[entry] - (ends - lens), lens) + np.arange(ends[-1])]
