@@ -53,14 +53,17 @@ def _found(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(indices of codes that are among the sorted pairs, which pair each is)."""
     table = np.full(1 << _HASH_BITS, -1, np.int32)
     table[_slots(pairs)] = np.arange(len(pairs))
-    which = table[_slots(code)]
+    which = table.take(_slots(code))
     near = np.flatnonzero(which >= 0)
-    which = which[near]
-    off = np.flatnonzero(pairs[which] != code[near])  # another pair of the slot, or none
+    which, own = which.take(near), code.take(near)
+    off = np.flatnonzero(pairs.take(which) != own)  # another pair of the slot, or none
     if len(off):
-        which[off] = np.minimum(np.searchsorted(pairs, code[near[off]]), len(pairs) - 1)
-        same = pairs[which] == code[near]
-        near, which = near[same], which[same]
+        which[off] = np.minimum(np.searchsorted(pairs, own[off]), len(pairs) - 1)
+        wrong = off[pairs[which[off]] != own[off]]
+        if len(wrong):
+            same = np.ones(len(near), bool)
+            same[wrong] = False
+            near, which = near[same], which[same]
     return near, which
 
 
@@ -70,13 +73,12 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np
     seq, starts = ids.astype(np.int32), starts.astype(np.int64)
     if n < 2:
         return seq, starts, rules
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     alone, gone = np.zeros(n, bool), np.zeros(n, bool)  # begins no pair; is the right half of a replaced one
     alone[starts[1:] - 1] = alone[-1] = True
-    place = np.arange(n, dtype=np.int32)
+    place = np.flatnonzero(~alone)
     while True:
-        place = place[~alone[place]]
-        left, right = seq[place], seq[after[place]]
+        left, right = seq.take(place), seq.take(after.take(place))
         code = (left.astype(np.int64) << 32) | right
         # in a run of one id only every second pair can be replaced
         alike = np.flatnonzero(left == right)
@@ -87,17 +89,19 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np
         pairs, counts = _counted(code)
         if not len(pairs):
             break
-        near, rule = _found(code, pairs)
-        place = place[near]
+        if len(pairs) > PAIRS:  # the others stay for the next round
+            top = np.sort(np.argsort(-counts, kind="stable")[:PAIRS])
+            pairs, counts = pairs[top], counts[top]
+            near, rule = _found(code, pairs)
+            hit = place.take(near)
+        else:
+            near, rule = _found(code, pairs)
+            hit = place = place.take(near)
         rank = np.empty(len(pairs), np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
-        hit = place
-        if len(pairs) > PAIRS:
-            own = rank[rule] < PAIRS
-            hit, rule = place[own], rule[own]
         # of pairs that overlap the more frequent are replaced, so the most frequent of all gives way to none
-        worth = rank[rule]
-        apart = np.concatenate([[True], after[hit[:-1]] != hit[1:], [True]])
+        worth = rank.take(rule)
+        apart = np.concatenate([[True], after.take(hit[:-1]) != hit[1:], [True]])
         better = worth[1:] < worth[:-1]
         win = (apart[:-1] | np.concatenate([[False], better])) & (apart[1:] | np.concatenate([~better, [False]]))
         hit, rule = hit[win], rule[win]
@@ -119,9 +123,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np
         if len(more) > n // 16:
             mark = np.zeros(n, bool)
             mark[more] = True
+            mark[alone] = False
             place = np.flatnonzero(mark)
         else:
-            place = np.unique(more)
+            more.sort()
+            place = more[np.concatenate([[True], more[1:] != more[:-1]]) & ~alone[more]]
     kept = ~gone
     return seq[kept], (np.cumsum(kept) - kept)[starts], rules
 

@@ -1,7 +1,7 @@
 """Exact batch encoding with a byte-level BPE file of the tokenizers library.
 
-Texts are cut where a single space stands between two non-space characters. There the pre-tokeniser always
-starts a new piece, so a chunk has the same ids wherever it occurs. Chunks of a batch are dictionary-encoded
+Texts are cut where a single space or line end stands between two non-space characters, and between a letter and a
+punctuation mark. There the pre-tokeniser always starts a new piece, so a chunk has the same ids wherever it occurs. Chunks of a batch are dictionary-encoded
 by Arrow; only chunks that this task has not met are given to the tokenizer, strung together. What is
 remembered is bounded in bytes and released when a task ends, so that idle workers hold none of it.
 """
@@ -26,6 +26,11 @@ BATCH_BYTES = 8 << 20
 STRUNG = 256
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?")] = True
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -98,7 +103,7 @@ class Encoder:
         size = np.diff(off)
         two = size > 1
         first, second, last, before = (np.where(two, data[np.where(two, at, 0)], 0) for at in (off[:-1], off[:-1] + 1, off[1:] - 1, off[1:] - 2))
-        fits = two & (first == 32) & (((last > 32) & (last < 127)) | ((last > 127) & (before >= 0xC3) & (before <= 0xDF))) & (((second > 32) & (second < 127)) | ((second >= 0xC3) & (second <= 0xDF)))
+        fits = two & ((first == 32) | (first == 10)) & (((last > 32) & (last < 127)) | ((last > 127) & (before >= 0xC3) & (before <= 0xDF))) & (((second > 32) & (second < 127)) | ((second >= 0xC3) & (second <= 0xDF)))
         entry, n = np.zeros(len(missing), np.int64), len(self.known)
         order = np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])
         entry[order] = n + np.arange(len(order))
@@ -123,13 +128,15 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]]
         off = off - off[0]
-        # a safe space: something printable before it, and after it
+        # a safe space or line end: something printable before it, and after it
         padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(1, np.uint8)])
         before2, before, here, after = padded[:-3], padded[1:-2], padded[2:-1], padded[3:]
-        at = np.flatnonzero(here == 32)
+        at = np.flatnonzero((here == 32) | (here == 10))
         b, b2, a = before[at], before2[at], after[at]
         at = at[(((b > 32) & (b < 127)) | ((b >= 128) & (b2 >= 0xC3) & (b2 <= 0xDF))) & (((a > 32) & (a < 127)) | ((a >= 0xC3) & (a <= 0xDF)))]
         cut = np.zeros(len(data) + 1, bool)
+        marks = np.flatnonzero(_MARK[here])
+        cut[marks[_LETTER[before[marks]]]] = True
         cut[at] = cut[off] = True
         cuts = np.flatnonzero(cut)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
