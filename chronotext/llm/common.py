@@ -63,12 +63,15 @@ def located(df: DataFrame, name: str) -> tuple[DataFrame, Column]:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more; other frames are left alone."""
+    """Delete materialised tables that nothing reads any more; other frames are left alone. Shuffle files of frames that are gone go with them,
+    once the driver's JVM has collected its garbage."""
+    gc.collect()
     for df in tables:
         if path := getattr(df, "_chronotext", None):
             jvm = df.sparkSession.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints on which the shared tree is fitted, the fingerprints that a shard should have, and the tree's size.
@@ -37,9 +37,8 @@ BLOCK = 1024
 COPY_SHINGLE, COPY = 5, 0.8
 #: Share of a text's shingles that a similar one of its size must share with it among the first ones.
 PREFIX = 0.1
-#: Texts in which common shingles are looked for, how often one must be found there, and how many are kept. They come last
-#: in the order of shingles; any order gives the same links.
-COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 8_000, 3, 500_000
+#: Rounds in which texts are compared with one pivot of each shingle only, before those that are still apart are compared with each other.
+STARS = 3
 
 
 def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
@@ -56,17 +55,28 @@ def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
-    """The columns keep and fp, a signed long."""
+def fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
+    """The columns keep and fp, a signed long; with similar also n, the number of the text's distinct COPY_SHINGLE-word shingles, and first, the
+    least of their hashes: two texts of that similarity have at least PREFIX * similar * n of them in common."""
+    more = ["n", "first"] if similar is not None else []
 
     def score(batches):
         for b in batches:
-            text = b.column(0)
-            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in text), np.uint64, len(text))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp.view(np.int64))], [*keep, "fp"])
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(0)]
+            fp = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            out = [*b.columns[1:], pa.array(fp.view(np.int64))]
+            if more:
+                own = [shingles(t) for t in texts]
+                n = np.array([len(h) for h in own], np.int64)
+                take = np.where(n > 0, n - _least_common(n, similar) + _least_common(n, PREFIX), 0)
+                keys = np.concatenate([h[:k] for h, k in zip(own, take, strict=True)]) if len(own) else np.zeros(0, np.uint64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32))
+                out += [pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(out, [*keep, "fp", *more])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp long"
-    return docs.select(F.col(text_col), *keep).mapInArrow(score, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp long" + (", n int, first array<long>" if more else "")
+    small = lambda batches: score(b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000))
+    return docs.select(F.col(text_col), *keep).mapInArrow(small, schema)
 
 
 def _distance(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -185,11 +195,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        former, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(former, large)
         if (now := state(edges)) == before:
             break
         before = now
-    return edges.select("u", F.col("v").alias("root"))
+    out = edges.select("u", F.col("v").alias("root"))
+    out._chronotext = edges._chronotext
+    return out
 
 
 def shingles(text: bytes, size: int = COPY_SHINGLE) -> np.ndarray:
@@ -207,91 +220,102 @@ def _least_common(n, similar: float):
     return np.ceil(n * similar - 1e-9).astype(np.int64)
 
 
-def similar_links(texts: DataFrame, size: int = COPY_SHINGLE, similar: float = COPY) -> DataFrame:
-    """u, v with u > v: fingerprints of texts (columns node, which names the text, fp, text) of that similarity. Enough
-    links to join each component: texts that a shared pivot has already joined are not compared again."""
+def _suspects(rows: DataFrame, similar: float) -> DataFrame:
+    """node, fp, n of the distinct texts that have enough first shingles in common with others."""
+    first = materialize(rows.select("node", "fp", "n", "first").dropDuplicates(["node"]), "first")
+    every = first.select("node", F.explode("first").alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    # the other text may be smaller by the factor similar, and then shares so many less
+    enough = F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
+    counts = every.join(shared, "key", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    out = materialize(counts.join(first.select("node", "fp", "n"), "node").where(F.col("shared") >= enough).select("node", "fp", "n"), "suspects")
+    release(first)
+    return out
 
-    spark = texts.sparkSession
 
-    def explode(common=None):
-        """key, node, fp, n of the first shingles, or key, node of all."""
+def similar_links(texts: DataFrame, rows: DataFrame, similar: float = COPY) -> DataFrame:
+    """u, v with u > v: fingerprints of texts of that similarity. texts: node (which names a text), text; rows: node, fp, n, first. Enough
+    links to join each component: texts that a shared pivot has already joined are not compared again."""
 
-        def rows(batches):
-            for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-                own = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", size) for x in b.column(2)]
-                n = np.array([len(h) for h in own], np.int64)
-                take = n
-                if common is not None:
-                    # of each text's shingles in one order, two similar texts share at least a given number of so many first ones
-                    take = np.where(n > 0, n - _least_common(n, similar) + _least_common(n, PREFIX), 0)
-                    last = common.value
-                    for i, h in enumerate(own):
-                        late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(len(h), bool)
-                        own[i] = np.concatenate([h[~late], h[late]])[: take[i]]
-                keys = np.concatenate(own) if len(own) else np.zeros(0, np.uint64)
-                of = np.repeat(np.arange(len(own)), take)
-                columns = [pa.array(keys.view(np.int64)), b.column(0).take(pa.array(of))]
-                if common is not None:
-                    columns += [b.column(1).take(pa.array(of)), pa.array(n[of].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "fp", "n"][: len(columns)])
-
-        return rows
-
-    texts = texts.select("node", "fp", "text")
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-texts.count() // COMMON_SAMPLE)))) == 0)
-    often = some.mapInArrow(explode(), "key long, node long").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") >= COMMON_LEAST)
-    often = np.array([r[0] for r in often.orderBy(F.desc("df"), "key").limit(COMMON_MOST).select("key").collect()], np.int64).view(np.uint64)
-    common = spark.sparkContext.broadcast(np.sort(often))
-    first = materialize(texts.mapInArrow(explode(common), "key long, node long, fp long, n int"), "first")
-    shared = first.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    # the other text may be smaller by the factor similar, and then shares so many less
-    enough = F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
-    nodes = first.join(shared, "key", "left_semi").groupBy("node", "fp", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough)
-    nodes = materialize(nodes.drop("shared"), "suspects")
-    # the rarest shingles first, so that a common line pairs no texts that are not made of it
-    every = materialize(texts.join(nodes, "node", "left_semi").mapInArrow(explode(), "key long, node long"), "shingles")
+    def explode(batches):
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            own = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(1)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in own])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))], ["node", "keys"])
+
+    nodes = _suspects(rows, similar)
+    # one shuffle of the texts: equal ones are where the join has put them
+    own = texts.select("node", "text").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    all_keys = materialize(own.select("node", "text").mapInArrow(explode, "node long, keys array<long>"), "shingles")
+    every = all_keys.select("node", F.explode("keys").alias("key"))
     twice = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    # the rarest shingles first, so that a common passage pairs no texts that are not made of it
     sets = every.join(twice, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).join(nodes, "node")
     least = F.ceil(F.col("n") * similar - 1e-9).cast("int")
-    sets = materialize(sets.where(F.size("keys") >= least).withColumn("take", F.size("keys") - least + 1), "sets")
-    prefix = materialize(sets.select("node", "n", F.explode(F.slice("keys", 1, F.col("take"))).alias("k")).select(F.col("k.key").alias("key"), "node", "n"), "prefixes")
+    sets = sets.where(F.size("keys") >= least).withColumn("take", F.size("keys") - least + 1)
+    # a text whose shingles are those of many others is a good pivot: copies are likelier similar to their original than to each other
+    sets = materialize(sets.withColumn("score", F.aggregate("keys", F.lit(0.0), lambda a, k: a + k["df"]) / F.col("n")), "sets")
+    release(all_keys, nodes)
+    prefix = materialize(sets.select("node", "n", "score", F.explode(F.slice("keys", 1, F.col("take"))).alias("k")).select(F.col("k.key").alias("key"), "node", "n", "score"), "prefixes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of node, n, other, m those that are similar; other is a's partner b."""
         pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * similar - 1e-9).select("node", "other").distinct()
         a = sets.select("node", F.col("fp").alias("a"), "n", F.col("keys.key").alias("x"))
         b = sets.select(F.col("node").alias("other"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("keys.key").alias("y"))
         both = pairs.join(a, "node").join(b, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
         return materialize(both.where(F.col("both") >= similar * (F.col("n") + F.col("m") - F.col("both")) - 1e-9).select("node", "other", "a", "b"), "similar")
 
-    pivot = prefix.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p")).select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
-    stars = confirmed(prefix.join(pivot, "key").where("node > other"))
-    root = components(stars.select(F.col("node").alias("u"), F.col("other").alias("v")))
-    at = prefix.join(root.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    at = materialize(at, "rooted")
-    apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    at = at.join(apart, "key", "left_semi")
-    other = at.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
-    rest = confirmed(at.join(other, "key").where("node > other AND root <> to"))
-    return stars.unionByName(rest).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    found, at = None, prefix.withColumn("root", F.col("node"))
+    for last in (False,) * STARS + (True,):
+        best = F.struct("score", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
+        if last:
+            # texts of a key that no pivot has joined: each with those of other components
+            side = at.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
+            now = confirmed(at.join(side, "key").where("node > other AND root <> to"))
+        else:
+            pivot = at.groupBy("key").agg(F.max(best).alias("p")).select("key", "p.other", "p.m", "p.to")
+            # a text is compared with its best pivot alone
+            pairs = at.join(pivot, "key").where("root <> to").groupBy("node", "n").agg(F.max_by(F.struct("other", "m"), F.struct("m", "other")).alias("q"))
+            now = confirmed(pairs.select("node", "n", "q.other", "q.m"))
+        found = now if found is None else materialize(found.unionByName(now), "similar")
+        if last:
+            break
+        root = components(found.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")))
+        before, at = at, prefix.join(root.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "score", F.coalesce("root", "node").alias("root"))
+        apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        at = materialize(at.join(apart, "key", "left_semi"), "rooted")
+        release(before, root)
+    out = found.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    out = materialize(out, "links")
+    release(sets, prefix, at, found, now)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), shingle: int = SHINGLE, radius: int = RADIUS, similar: float | None = None) -> DataFrame:
     """id, the columns keep, fp, component_id (least id of the component) and component (a fingerprint that names it).
     With similar, texts whose COPY_SHINGLE-word shingles are that similar are linked too."""
-    rows = materialize(fingerprints(docs, text_col, [id_col, *keep], shingle), "fingerprints")
+    if similar is None:
+        rows = materialize(fingerprints(docs, text_col, [id_col, *keep], shingle), "fingerprints")
+    else:
+        own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), id_col, *keep)
+        own = own.select("text", id_col, *keep, F.xxhash64("text").alias("node"))
+        rows = materialize(fingerprints(own, "text", [id_col, *keep, "node"], shingle, similar), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     found = fingerprint_links(nodes, radius)
     if similar is not None:
-        texts = fingerprints(docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node")).dropDuplicates(["node"]), "text", ["node", "text"], shingle)
-        found = found.unionByName(similar_links(materialize(texts, "texts"), similar=similar))
+        more = similar_links(own, rows, similar)
+        found = found.unionByName(more)
     of = components(found)
-    nodes = nodes.join(of.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
-    nodes = materialize(nodes, "members")
+    members = nodes.join(of.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
+    members = materialize(members, "members")
     # only components of several fingerprints need a look at each other
-    linked = nodes.join(of.select(F.col("root").alias("component")).distinct(), "component", "left_semi")
+    linked = members.join(of.select(F.col("root").alias("component")).distinct(), "component", "left_semi")
     low = linked.groupBy("component").agg(F.min("least").alias("low"))
-    nodes = nodes.join(low, "component", "left").select("fp", "component", F.when(F.col("low").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
-    return rows.join(nodes, "fp").select(id_col, *keep, "fp", "component_id", "component")
+    named = members.join(low, "component", "left").select("fp", "component", F.when(F.col("low").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
+    named = materialize(named, "named")
+    release(nodes, members, of, *([more] if similar is not None else []))
+    return rows.join(named, "fp").select(id_col, *keep, "fp", "component_id", "component")
 
 
 def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
