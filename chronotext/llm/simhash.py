@@ -37,9 +37,6 @@ BLOCK = 1024
 COPY_SHINGLE, COPY = 5, 0.8
 #: Share of a text's shingles that a similar one of its size must share with it among the first ones.
 PREFIX = 0.1
-#: Rounds in which texts are compared with one pivot of each shingle only, before those that are still apart are compared with each other.
-STARS = 3
-
 
 def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
     """64 bits, each set if it is set in over half of the shingles' XXH64; bytes.lower and split are ASCII only."""
@@ -256,39 +253,48 @@ def similar_links(texts: DataFrame, rows: DataFrame, similar: float = COPY) -> D
     # a text whose shingles are those of many others is a good pivot: copies are likelier similar to their original than to each other
     sets = materialize(sets.withColumn("score", F.aggregate("keys", F.lit(0.0), lambda a, k: a + k["df"]) / F.col("n")), "sets")
     release(all_keys, nodes)
-    prefix = materialize(sets.select("node", "n", "score", F.explode(F.slice("keys", 1, F.col("take"))).alias("k")).select(F.col("k.key").alias("key"), "node", "n", "score"), "prefixes")
+    places = sets.select("node", "n", "score", F.size("keys").alias("size"), F.posexplode(F.slice("keys", 1, F.col("take"))).alias("pos", "k"))
+    prefix = materialize(places.select(F.col("k.key").alias("key"), "node", "n", "score", (F.col("size") - F.col("pos")).alias("left")), "prefixes")
+    # of the shingles from this one on, which are left on both sides, there must be enough: true of the first that two similar texts share
+    may = "least(n, m) >= greatest(n, m) * {0} - 1e-9 AND least(left, other_left) >= {0} / (1 + {0}) * (n + m) - 1e-9".format(similar)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of node, n, other, m those that are similar; other is a's partner b."""
-        pairs = pairs.where(F.least("n", "m") >= F.greatest("n", "m") * similar - 1e-9).select("node", "other").distinct()
+        """Those pairs of node, other that are similar; a and b are their fingerprints."""
         a = sets.select("node", F.col("fp").alias("a"), "n", F.col("keys.key").alias("x"))
         b = sets.select(F.col("node").alias("other"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("keys.key").alias("y"))
-        both = pairs.join(a, "node").join(b, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
+        both = pairs.select("node", "other").distinct().join(a, "node").join(b, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
         return materialize(both.where(F.col("both") >= similar * (F.col("n") + F.col("m") - F.col("both")) - 1e-9).select("node", "other", "a", "b"), "similar")
 
-    found, at = None, prefix.withColumn("root", F.col("node"))
-    for last in (False,) * STARS + (True,):
-        best = F.struct("score", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
-        if last:
-            # texts of a key that no pivot has joined: each with those of other components
-            side = at.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
-            now = confirmed(at.join(side, "key").where("node > other AND root <> to"))
-        else:
-            pivot = at.groupBy("key").agg(F.max(best).alias("p")).select("key", "p.other", "p.m", "p.to")
-            # a text is compared with its best pivot alone
-            pairs = at.join(pivot, "key").where("root <> to").groupBy("node", "n").agg(F.max_by(F.struct("other", "m"), F.struct("m", "other")).alias("q"))
-            now = confirmed(pairs.select("node", "n", "q.other", "q.m"))
-        found = now if found is None else materialize(found.unionByName(now), "similar")
-        if last:
-            break
+    def starred(at: DataFrame) -> DataFrame:
+        """Texts (key, node, n, score, left, root) against the best text of each key: one partner a text, the most likely one."""
+        best = at.groupBy("key").agg(F.max(F.struct("score", F.col("node").alias("other"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("to"))).alias("p"))
+        pairs = at.join(best.select("key", "p.other", "p.m", "p.other_left", "p.to"), "key").where(f"root <> to AND {may}")
+        return confirmed(pairs.groupBy("node").agg(F.max_by("other", F.struct(-F.abs(F.col("n") - F.col("m")), F.col("other"))).alias("other")))
+
+    def rooted(found: DataFrame) -> DataFrame:
+        """The prefixes with their texts' components, only of keys that are in several."""
         root = components(found.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")))
-        before, at = at, prefix.join(root.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "score", F.coalesce("root", "node").alias("root"))
+        at = prefix.join(root.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        at = materialize(at.join(apart, "key", "left_semi"), "rooted")
-        release(before, root)
+        out = materialize(at.join(apart, "key", "left_semi"), "rooted")
+        release(root)
+        return out
+
+    first = starred(prefix.withColumn("root", F.col("node")))
+    at = rooted(first)
+    # those that their first pivot has not taken have another one
+    pivot = at.groupBy("key").agg(F.max_by("root", F.struct("score", "node")).alias("to"))
+    second = starred(at.join(pivot, "key").where("root <> to").drop("to"))
+    found = materialize(first.unionByName(second), "similar")
+    release(first, second, at)
+    at = rooted(found)
+    # texts of a key that no pivot has joined: each with those of other components
+    side = at.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("root").alias("to"))
+    rest = confirmed(at.join(side, "key").where(f"node > other AND root <> to AND {may}"))
+    found = found.unionByName(rest)
     out = found.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     out = materialize(out, "links")
-    release(sets, prefix, at, found, now)
+    release(sets, prefix, at, rest)
     return out
 
 
