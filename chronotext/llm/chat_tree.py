@@ -2,9 +2,11 @@
 
 Conversations are put in the order of their turns, so that those which share initial turns stand together in
 depth-first order, and dealt by ranges of that order: a very common first turn, or a very common conversation, is
-spread over many partitions. A stream over a partition emits each new turn once; a packed sequence holds a part
-of a tree in depth-first order, with the position ids each turn has in its own conversation and, for each
-turn, the intervals of its ancestors (adjacent ones merged), which is all that it may attend to besides itself.
+spread over many partitions. A stream over a partition emits each new turn once; a packed sequence holds trees, or parts
+of one, in depth-first order, with the position ids each turn has in its own conversation and, for each
+turn, the intervals of its ancestors (adjacent ones merged), which is all that it may attend to besides itself. As a
+sequence has all that its turns attend to, shared turns are repeated where a sequence ends within a tree: those of one
+path for each sequence of MAX_TOKENS, and for each partition.
 
 Turns of a conversation are ordered by turn, role and text, nulls first. Null roles and texts are empty.
 Rows of a null id are one conversation; repeated rows are repeated turns; an empty table gives no sequences;
@@ -62,9 +64,16 @@ def parse(piece: str) -> tuple[str, str]:
 
 
 SCHEMA = "sequence_id long, input_ids array<int>, position_ids array<int>, nodes array<struct<start:int,end:int,parent:int,loss_start:int,loss_end:int,attends:array<struct<start:int,end:int>>>>, conversations array<struct<conv_id:long,node:int>>"
-_PAIR = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_NODE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("attends", pa.list_(_PAIR))])
-_ARROW = pa.schema([("sequence_id", pa.int64()), ("input_ids", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("nodes", pa.list_(_NODE)), ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
+_NAMES = ["sequence_id", "input_ids", "position_ids", "nodes", "conversations"]
+
+
+def _ints(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.int32))
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """A column of one row that is a list."""
+    return pa.ListArray.from_arrays(_ints([0, len(values)]), values)
 
 
 class Packer:
@@ -75,7 +84,12 @@ class Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.positions, self.nodes, self.conversations, self.size = [], [], [], [], 0
+        self.ids: list[np.ndarray] = []
+        self.start, self.end, self.parent, self.loss_start, self.loss_end, self.depth = [], [], [], [], [], []
+        self.attends: list[list[tuple[int, int]]] = []
+        self.convs: list[int | None] = []
+        self.leaves: list[int] = []
+        self.size = 0
         self.path: list[tuple[str, str]] = []
         self.stack: list[int] = []
 
@@ -86,35 +100,40 @@ class Packer:
         del self.path[shared:], self.stack[shared:]
         for turn, (head, text, foot) in zip(turns[shared:], tokens[shared:], strict=True):
             parent = self.stack[-1] if self.stack else -1
-            n = len(head) + len(text) + len(foot)
-            depth, attends = 0, []
+            depth, attends, at = 0, [], self.size + len(head)
             if parent >= 0:
-                above = self.nodes[parent]
-                depth = above["depth"] + above["end"] - above["start"]
-                attends = [dict(x) for x in above["attends"]]
-                if attends and attends[-1]["end"] == above["start"]:
-                    attends[-1]["end"] = above["end"]
-                else:
-                    attends.append({"start": above["start"], "end": above["end"]})
-            own = turn[0] == "assistant"
-            at = self.size + len(head)
-            self.nodes.append({"start": self.size, "end": self.size + n, "parent": parent, "loss_start": at, "loss_end": at + len(text) * own, "attends": attends, "depth": depth})
+                a, b, attends = self.start[parent], self.end[parent], self.attends[parent]
+                depth = self.depth[parent] + b - a
+                attends = [*attends[:-1], (attends[-1][0], b)] if attends and attends[-1][1] == a else [*attends, (a, b)]
+            self.start.append(self.size)
+            self.size += len(head) + len(text) + len(foot)
+            self.end.append(self.size)
+            self.parent.append(parent)
+            self.depth.append(depth)
+            self.loss_start.append(at)
+            self.loss_end.append(at + len(text) * (turn[0] == "assistant"))
+            self.attends.append(attends)
             self.ids += [head, text, foot]
-            self.positions.append(np.arange(depth, depth + n, dtype=np.int32))
-            self.size += n
-            self.stack.append(len(self.nodes) - 1)
+            self.stack.append(len(self.start) - 1)
             self.path.append(turn)
-        self.conversations.append({"conv_id": conv_id, "node": self.stack[-1]})
+        self.convs.append(conv_id)
+        self.leaves.append(self.stack[-1])
 
-    def full(self, turns: list[tuple[str, str]]) -> bool:
-        """Whether a sequence ends before this conversation: another tree begins, or the sequence is long."""
-        return bool(self.conversations) and (turns[0] != self.path[0] or self.size >= self.most or len(self.conversations) >= self.most)
+    def full(self) -> bool:
+        """Whether a sequence ends before the next conversation."""
+        return self.size >= self.most or len(self.convs) >= self.most
 
     def close(self, sequence_id: int) -> pa.RecordBatch:
-        nodes = [{k: v for k, v in x.items() if k != "depth"} for x in self.nodes]
-        row = {"sequence_id": sequence_id, "input_ids": np.concatenate(self.ids), "position_ids": np.concatenate(self.positions), "nodes": nodes, "conversations": self.conversations}
+        size = np.array(self.end) - np.array(self.start)
+        positions = np.arange(self.size) - np.repeat(np.array(self.start) - np.array(self.depth), size)
+        flat = np.array([x for own in self.attends for x in own], np.int32).reshape(-1, 2)
+        ends = np.cumsum([0, *map(len, self.attends)])
+        attends = pa.ListArray.from_arrays(_ints(ends), pa.StructArray.from_arrays([_ints(flat[:, 0]), _ints(flat[:, 1])], ["start", "end"]))
+        nodes = pa.StructArray.from_arrays([*(_ints(x) for x in (self.start, self.end, self.parent, self.loss_start, self.loss_end)), attends], ["start", "end", "parent", "loss_start", "loss_end", "attends"])
+        convs = pa.StructArray.from_arrays([pa.array(self.convs, pa.int64()), _ints(self.leaves)], ["conv_id", "node"])
+        out = [pa.array([sequence_id], pa.int64()), _one(_ints(np.concatenate(self.ids))), _one(_ints(positions)), _one(nodes), _one(convs)]
         self.clear()
-        return pa.RecordBatch.from_pylist([row], _ARROW)
+        return pa.RecordBatch.from_arrays(out, _NAMES)
 
 
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None, most: int = MAX_TOKENS) -> DataFrame:
@@ -128,8 +147,11 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
     dealt = dealt.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder.of(vocabulary), Packer(most)
-        number = TaskContext.get().partitionId() << 32
+        with Encoder.task(vocabulary) as encoder:
+            yield from packed(batches, encoder)
+
+    def packed(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+        packer, number = Packer(most), TaskContext.get().partitionId() << 32
         fixed: dict[str, np.ndarray] = {}
 
         def few(s: str) -> np.ndarray:
@@ -148,13 +170,12 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
                     ids += [tokens[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
                 ids = iter(ids)
                 for conv_id, rs, ts in zip(part.column(0).to_pylist(), roles, texts, strict=True):
-                    turns = list(zip(rs, ts, strict=True))
                     tokens = [(few(header(r)), next(ids), few(FOOTER)) for r in rs]
-                    if packer.full(turns):
+                    if packer.full():
                         yield packer.close(number)
                         number += 1
-                    packer.add(conv_id, turns, tokens)
-        if packer.conversations:
+                    packer.add(conv_id, list(zip(rs, ts, strict=True)), tokens)
+        if packer.convs:
             yield packer.close(number)
 
     return materialize(dealt.mapInArrow(rows, SCHEMA), "chats")
@@ -163,29 +184,45 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
 def read_conversations(sequences: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, decoded from the sequences."""
     vocabulary = vocabulary or default_vocabulary()
-    kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Encoder.of(vocabulary).tokenizer
+        edges: dict[tuple[int, ...], int] = {}
+
+        def chars(own: list[int]) -> int:
+            """Characters of a turn's head or foot; there are few kinds."""
+            if (key := tuple(own)) not in edges:
+                if len(edges) > 4096:
+                    edges.clear()
+                edges[key] = len(tokenizer.decode(own, skip_special_tokens=False))
+            return edges[key]
+
         for b in batches:
             for all_ids, all_nodes, convs in zip(*(b.column(i) for i in range(3)), strict=True):
-                ids, nodes, out = all_ids.values.to_numpy().tolist(), all_nodes.as_py(), []
-                pieces = tokenizer.decode_batch([ids[x["start"] : x["end"]] for x in nodes], skip_special_tokens=False)
-                losses = tokenizer.decode_batch([ids[x["loss_start"] : x["loss_end"]] for x in nodes], skip_special_tokens=False)
-                turns = [(*parse(p), unescape(m), len(p)) for p, m in zip(pieces, losses, strict=True)]
-                digests: dict[int, dict] = {}
-                for c in convs.as_py():
-                    if (node := c["node"]) not in digests:
+                ids, nodes, convs = all_ids.values.to_numpy().tolist(), all_nodes.values, convs.values
+                start, end, parent, loss_start, loss_end = (nodes.field(i).to_pylist() for i in range(5))
+                pieces = tokenizer.decode_batch([ids[i:j] for i, j in zip(start, end, strict=True)], skip_special_tokens=False)
+                turns = []
+                for k, piece in enumerate(pieces):  # the mask's part of a turn lies between whole characters
+                    i, j = loss_start[k], loss_end[k]
+                    loss = unescape(piece[chars(ids[start[k] : i]) : len(piece) - chars(ids[j : end[k]])]) if i < j else ""
+                    turns.append((*parse(piece), loss, len(piece)))
+                digests: dict[int, tuple] = {}
+                leaves = convs.field(1).to_pylist()
+                for node in leaves:
+                    if node not in digests:
                         chain, k = [], node
                         while k >= 0:
                             chain.append(turns[k])
-                            k = nodes[k]["parent"]
+                            k = parent[k]
                         chain.reverse()
                         loss = "".join(x[2] for x in chain)
                         text = "".join(f"{x[0]}\n{x[1]}\n" for x in chain)
-                        digests[node] = {"n_turns": len(chain), "turns_sha256": hashlib.sha256(text.encode()).hexdigest(), "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": sum(x[3] for x in chain)}
-                    out.append({"conv_id": c["conv_id"]} | digests[node])
-                yield pa.RecordBatch.from_pylist(out, kinds)
+                        digests[node] = (len(chain), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(x[3] for x in chain))
+                columns = zip(*(digests[node] for node in leaves), strict=True)
+                yield pa.RecordBatch.from_arrays([convs.field(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names)
 
     return sequences.select("input_ids", "nodes", "conversations").mapInArrow(rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

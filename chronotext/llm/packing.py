@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import located, materialize, table
 from .tokens import Encoder, default_vocabulary
 
 MAX_TOKENS = 2048
@@ -30,8 +30,6 @@ MAX_PATTERNS = 12_000
 ITERATIONS = 400
 #: Patterns leave at most this share of a sequence empty.
 MAX_WASTE = 0.004
-#: Pieces of one length that are ranked in one group, about.
-RANKED = 2_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,16 +147,17 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 
 
 def place(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset. cut: materialised pieces. Long groups of one length are ranked in buckets."""
+    """Adds sequence_id and offset. Pieces of a length are numbered file by file (a file is what one task wrote), so no task sorts more of them
+    than a file holds, and rows that are alike in every column are as far apart as others."""
     spark = cut.sparkSession
+    cut, at = located(cut, "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most max_tokens rows
     where = spark.createDataFrame(slots(plan(histogram, max_tokens)) or [], "w_length long, lo long, hi long, base long, offset long")
-    buckets = int(min(4096, max(1, max(histogram.values(), default=0) // RANKED + 1)))
-    ranked = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = ranked.groupBy(F.col("length").alias("b_length"), F.col("bucket").alias("b_bucket")).count()
-    before = before.withColumn("before", F.sum("count").over(Window.partitionBy("b_length").orderBy("b_bucket")) - F.col("count")).drop("count")
-    row = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = ranked.withColumn("row", row).join(before, (F.col("length") == F.col("b_length")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("row") + F.col("before"))
+    ranked = cut.select("*", at["file"].alias("file"), at["row"].alias("row"))
+    before = ranked.groupBy(F.col("length").alias("b_length"), F.col("file").alias("b_file")).count()
+    before = before.withColumn("before", F.sum("count").over(Window.partitionBy("b_length").orderBy("b_file")) - F.col("count")).drop("count")
+    inside = F.row_number().over(Window.partitionBy("file", "length").orderBy("row")) - 1
+    ranked = ranked.withColumn("inside", inside).join(before, (F.col("file") == F.col("b_file")) & (F.col("length") == F.col("b_length"))).withColumn("rank", F.col("inside") + F.col("before"))
     # where has a bounded number of rows: patterns and residual steps, not documents
     placed = ranked.join(F.broadcast(where), (F.col("length") == F.col("w_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")

@@ -1,8 +1,8 @@
 """Operator 9, token files compressed by Re-Pair grammars with random access to documents.
 
 Documents are dealt to partitions by ranges of their id and sorted; each partition is cut into shards. In a
-shard, rounds replace the most frequent adjacent id pairs by new symbols (never across documents) until no pair
-is found often enough to pay for its rule. Pairs are counted over the whole shard once; from then on only places where a
+shard, rounds replace frequent adjacent id pairs by new symbols (never across documents; of pairs that overlap, the more
+frequent) until no pair is found often enough to pay for its rule. Pairs are counted over the whole shard once; from then on only places where a
 pair is frequent, or which a replacement has changed, are counted again. The shard
 stores its rules round by round, the length that each rule expands to, and where each document starts both
 in the grammar's sequence and in the expanded ids, so one document, or a part of one, is decoded from its own slice.
@@ -30,10 +30,10 @@ from .tokens import Encoder, default_vocabulary
 END_ID = 2
 #: Ids in a shard, at least, before it is closed.
 SHARD_IDS = 1 << 20
-#: Pairs replaced in a round, and how often a pair must be replaced: a rule takes 16 bytes, each use of it saves 3.
-PAIRS, LEAST = 8192, 6
+#: How often a pair must be replaced: a rule takes 16 bytes, each use of it saves 3.
+LEAST = 6
 MAGIC = b"RPG1"
-_HASH_BITS = 18
+_HASH_BITS = 20
 
 
 def _slots(code: np.ndarray) -> np.ndarray:
@@ -89,14 +89,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_symbol: int) -> tuple[np
         pairs, counts = _counted(code)
         if not len(pairs):
             break
-        if len(pairs) > PAIRS:  # the others stay for the next round
-            top = np.sort(np.argsort(-counts, kind="stable")[:PAIRS])
-            pairs, counts = pairs[top], counts[top]
-            near, rule = _found(code, pairs)
-            hit = place.take(near)
-        else:
-            near, rule = _found(code, pairs)
-            hit = place = place.take(near)
+        near, rule = _found(code, pairs)
+        hit = place = place.take(near)
         rank = np.empty(len(pairs), np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
         # of pairs that overlap the more frequent are replaced, so the most frequent of all gives way to none

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints on which the shared tree is fitted, the fingerprints that a shard should have, and the tree's size.
+#: Fingerprints on which the shared tree is fitted, the fingerprints that a shard should have, and the tree's size. A larger table has larger
+#: shards (8 bytes a fingerprint), which the search splits further by their own points; nothing is left out.
 SAMPLE, SHARD, MAX_SHARDS = 20_000, 16_000, 4096
 #: Points compared with each other at the end of a branch.
 BLOCK = 1024
@@ -148,9 +149,10 @@ def links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
                 continue
         p = points[own]
         for s in range(0, len(own), BLOCK):
-            i, j = np.nonzero(np.bitwise_count(p[s : s + BLOCK, None] ^ p[None, s:]) <= radius)
-            up = j > i
-            union(own[s + i[up]], own[s + j[up]])
+            for t in range(s, len(own), BLOCK):  # both sides in blocks: memory is bounded where a branch won't split
+                i, j = np.nonzero(np.bitwise_count(p[s : s + BLOCK, None] ^ p[None, t : t + BLOCK]) <= radius)
+                up = t + j > s + i
+                union(own[s + i[up]], own[t + j[up]])
     return label
 
 
