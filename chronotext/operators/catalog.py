@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import numbered
+
 
 def upsert(rows: DataFrame, key: list[str], seq: str, overwrite: list[str] = (), keep_known: list[str] = (), first: list[str] = ()) -> DataFrame:
     """One row a key: overwrite takes the last value even if null, keep_known the last that isn't null, first the first."""
@@ -26,9 +28,11 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: str, seq: str) -> Data
 
 def course_sequence(sessions: DataFrame, course: str, start: str) -> DataFrame:
     """Number in the course: 1 + rows that start strictly earlier; without a start, 1 + all rows with one."""
-    known = F.rank().over(Window.partitionBy(course, F.col(start).isNull()).orderBy(start))
-    total = F.count(start).over(Window.partitionBy(course)) + 1
-    return sessions.withColumn("number", F.when(F.col(start).isNull(), total).otherwise(known))
+    known = numbered(sessions.where(F.col(start).isNotNull()), [course], [F.col(start)], "number")
+    total = sessions.groupBy(F.col(course).alias("_course")).agg((F.count(start) + 1).alias("number"))
+    rest = sessions.where(F.col(start).isNull())
+    rest = rest.join(total, rest[course].eqNullSafe(total["_course"])).drop("_course")
+    return known.unionByName(rest.withColumn("number", F.col("number").cast(known.schema["number"].dataType)))
 
 
 def guarded_delete(parents: DataFrame, key: str, gone: Column, *children: DataFrame) -> DataFrame:

@@ -39,23 +39,25 @@ def native_reasons(seg: DataFrame, cfg: RepairConfig = RepairConfig()) -> DataFr
 
 def candidates(seg: DataFrame, duration: DataFrame | None = None, cfg: RepairConfig = RepairConfig()) -> DataFrame:
     """Suspicious spans with padded windows: single rows with a reason, and runs of equal neighbours. duration: of the
-    sessions, else their last end. One pass: a run's span is emitted by its last row."""
+    sessions, else their last end."""
     flagged = native_reasons(seg, cfg)
     all_ = Window.partitionBy("session_id")
     flagged = flagged.withColumn("duration", F.max("seg_end").over(all_)) if duration is None else flagged.join(duration, "session_id")
     pad = cfg.padding_seconds
-    r = Window.partitionBy("session_id", "run")
     flagged = runs(flagged, ["session_id"], "id", "key")
-    flagged = flagged.withColumn("run_start", F.min("seg_start").over(r)).withColumn("run_end", F.max("seg_end").over(r)).withColumn("run_ids", F.collect_list("id").over(r)).withColumn("run_reasons", F.collect_list("reasons").over(r))
+    long = (F.col("key") != "") & (F.col("run_length") >= cfg.longest_run_threshold)
+    # one list a run, where its rows already stand together
+    rows = F.array_sort(F.collect_list(F.struct("id", "seg_start", "seg_end", "reasons"))).alias("rows")
+    flagged = flagged.withColumn("long", long).where("long OR size(reasons) > 0").groupBy("session_id", "run").agg(rows, F.first("duration").alias("duration"), F.first("long").alias("long"))
 
     def span(lo, hi, ids, reasons):
         return F.struct(lo.alias("seg_start"), hi.alias("seg_end"), F.greatest(F.lit(0.0), lo - pad).alias("window_start"), F.least("duration", hi + pad).alias("window_end"), ids.alias("ids"), reasons.alias("reasons"))
 
-    single = F.when(F.size("reasons") > 0, span(F.col("seg_start"), F.col("seg_end"), F.array("id"), F.col("reasons")))
-    long = (F.col("key") != "") & (F.col("run_length") >= cfg.longest_run_threshold) & (F.col("run_place") == F.col("run_length"))
-    cross = F.array_sort(F.array_distinct(F.concat(F.flatten("run_reasons"), F.array(F.lit("cross_segment_repetition")))))
-    group = F.when(long, span(F.col("run_start"), F.col("run_end"), F.sort_array("run_ids"), cross))
-    return flagged.select("session_id", F.explode(F.filter(F.array(single, group), lambda x: x.isNotNull())).alias("c")).select("session_id", "c.*")
+    every = lambda name: F.transform("rows", lambda x: x[name])
+    singles = F.transform(F.filter("rows", lambda x: F.size(x["reasons"]) > 0), lambda x: span(x["seg_start"], x["seg_end"], F.array(x["id"]), x["reasons"]))
+    cross = F.array_sort(F.array_distinct(F.concat(F.flatten(every("reasons")), F.array(F.lit("cross_segment_repetition")))))
+    group = F.when(F.col("long"), F.array(span(F.array_min(every("seg_start")), F.array_max(every("seg_end")), every("id"), cross)))
+    return flagged.select("session_id", F.explode(F.concat(singles, F.coalesce(group, F.array()))).alias("c")).select("session_id", "c.*")
 
 
 def union_windows(spans: DataFrame) -> DataFrame:

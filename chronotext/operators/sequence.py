@@ -60,6 +60,47 @@ def runs(df: DataFrame, on: list[str], order: str, key: str, empty_extends: bool
     return out.withColumn("run_length", F.count("*").over(r)).withColumn("run_place", F.row_number().over(r.orderBy(order)))
 
 
+def ranges(df: DataFrame, on: list[str], order: list[Column], parts: int = 64, few: int = 1_000_000) -> Column:
+    """A number for each row, by its place in the order (nulls first) of on and order: rows that are equal there have the same. Splits keys with
+    many rows; a table of few rows is one range. Borders are drawn from about 50 * parts rows, which come to the driver."""
+    n = df.count()
+    if n <= few:
+        return F.lit(0)
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(on)), *(c.alias(f"o{i}") for i, c in enumerate(order)))
+    drawn = df.select(key.alias("k")).sample(min(1.0, 50 * parts / n), seed=1)
+    seen = [r[0] for r in drawn.orderBy("k").collect()]
+    kinds = drawn.schema["k"].dataType
+    borders = {tuple(seen[i]): None for i in range(len(seen) // parts, len(seen), max(1, len(seen) // parts))}
+    above = [(key >= F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds.fields, strict=True)))).cast("int") for b in borders]
+    return sum(above, F.lit(0))
+
+
+def numbered(df: DataFrame, on: list[str], order: list[Column], name: str, ties: list[Column] = (), **how) -> DataFrame:
+    """Adds the place (from 1) of each row among those of on, by order (nulls first), then ties. With no ties, rows that are equal in order have the
+    same place, that of the first. No task sorts more than one range of a key; ranges are counted up before."""
+    ranged = df.withColumn("_range", ranges(df, on, order, **how))
+    w = Window.partitionBy(*on, "_range").orderBy(*(c.asc_nulls_first() for c in (*order, *ties)))
+    counts = ranged.groupBy(*on, "_range").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(_before(Window.partitionBy(*on).orderBy("_range"))))
+    counts = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col("_range").alias("_r"), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
+    place = (F.row_number() if ties else F.rank()).over(w)
+    out = ranged.withColumn("_place", place).join(counts, [*same, F.col("_range") == F.col("_r")])
+    return out.select(*df.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def followed(df: DataFrame, on: list[str], order: list[Column], value: str, name: str, **how) -> DataFrame:
+    """Adds the value of the row before, in the order (nulls first, no two rows equal) of each on. Of the range before, its last row counts."""
+    ranged = df.withColumn("_range", ranges(df, on, order, **how))
+    w = Window.partitionBy(*on, "_range").orderBy(*(c.asc_nulls_first() for c in order))
+    last = ranged.groupBy(*on, "_range").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy(*on).orderBy("_range")))
+    last = last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col("_range").alias("_r"), "_last")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
+    out = ranged.withColumn("_here", F.lag(F.struct(value)).over(w)).join(last, [*same, F.col("_range") == F.col("_r")])
+    return out.select(*df.columns, F.coalesce("_here", "_last").getField(value).alias(name))
+
+
 def clamp(df: DataFrame, on: list[str], duration: str) -> DataFrame:
     """Monotone timeline: spans are cut to [0, duration] and start where all before them have ended; blank or empty ones go."""
     cut = df.withColumn("seg_start", F.greatest(F.lit(0.0), "seg_start")).withColumn("seg_end", F.least(duration, "seg_end"))

@@ -80,15 +80,15 @@ def file_exists(spark, d):
 
 @query(FILES + " SELECT session_id, path, timestamp, row_number() OVER (PARTITION BY session_id ORDER BY timestamp NULLS FIRST, path)::INTEGER AS place FROM fd")
 def list_files_nulls_first(spark, d):
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("timestamp"), "path")
-    return files_docs(spark, d).select("session_id", "path", "timestamp", F.row_number().over(w).alias("place"))
+    f = files_docs(spark, d).select("session_id", "path", "timestamp")
+    return S.numbered(f, ["session_id"], [F.col("timestamp"), F.col("path")], "place", ties=[F.col("path")]).withColumn("place", F.col("place").cast("int"))
 
 
-@query(FILES + " SELECT session_id, lpad(row_number() OVER (PARTITION BY session_id ORDER BY lower(path), path)::VARCHAR, greatest(3, 3), '0') AS number, path, sha256, size FROM fd WHERE session_id < 7 AND seq < 5000")
+@query(FILES + " SELECT session_id, lpad(n, greatest(3, length(n))::INTEGER, '0') AS number, path, sha256, size FROM (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY lower(path), path))::VARCHAR AS n FROM fd)")
 def export_manifest(spark, d):
     from chronotext.sources.sinks import export_manifest as manifest
 
-    return manifest(files_docs(spark, d).where("session_id < 7 AND seq < 5000"))
+    return manifest(files_docs(spark, d))
 
 
 @query("SELECT CASE event_type WHEN 'signup' THEN 'NEW' WHEN 'view' THEN 'AUDIO_READY' WHEN 'click' THEN 'TRANSCRIBED' WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'FAILED' END AS state, count(*) AS n FROM events GROUP BY 1")
@@ -229,9 +229,9 @@ _EDGES = ", ".join(f"('{a}', '{b}')" for a, v in C.TRANSITIONS.items() for b in
 
 @query(EVENTS + _MOVES + f" SELECT session_id, current, target FROM mv WHERE current IS NOT NULL AND current <> target AND (current, target) NOT IN (VALUES {_EDGES})")
 def state_transition_violations(spark, d):
-    w = Window.partitionBy("course_key").orderBy("start_time", "session_id")
-    m = sess_events(spark, d).select("session_id", F.lag("state").over(w).alias("current"), F.col("state").alias("target")).where("current IS NOT NULL")
-    return C.illegal_transitions(m)
+    s = sess_events(spark, d).select("session_id", "course_key", "start_time", "state")
+    m = S.followed(s, ["course_key"], [F.col("start_time"), F.col("session_id")], "state", "current").where("current IS NOT NULL")
+    return C.illegal_transitions(m.select("session_id", "current", F.col("state").alias("target")))
 
 
 @query(EVENTS + " SELECT session_id, CASE WHEN state = 'FAILED' THEN CASE WHEN session_id % 2 = 0 THEN 'TRANSCRIBING' ELSE 'AUDIO_READY' END ELSE state END AS state FROM ev")

@@ -130,9 +130,9 @@ def glossary_load(spark, d):
 _SLUG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '[<>:\"/\\|?*\x00-\x1f]', '-', 'g'), '[\s_]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')"
 
 
-@query("WITH x AS (SELECT doc_id, " + _SLUG.format("left(text, 60)") + " AS s FROM documents) SELECT doc_id, CASE WHEN regexp_replace(left(lower(s), 40), '-+$', '') = '' THEN 'untitled' ELSE regexp_replace(left(lower(s), 40), '-+$', '') END AS slug, CASE WHEN regexp_replace(left(s, 60), '[-.]+$', '') = '' THEN 'unknown-course' ELSE regexp_replace(left(s, 60), '[-.]+$', '') END AS label FROM x")
+@query("WITH x AS (SELECT doc_id, " + _SLUG.format("text") + " AS s FROM documents) SELECT doc_id, CASE WHEN regexp_replace(left(lower(s), 40), '-+$', '') = '' THEN 'untitled' ELSE regexp_replace(left(lower(s), 40), '-+$', '') END AS slug, CASE WHEN regexp_replace(left(s, 60), '[-.]+$', '') = '' THEN 'unknown-course' ELSE regexp_replace(left(s, 60), '[-.]+$', '') END AS label FROM x")
 def slug_names(spark, d):
-    t = F.left("text", F.lit(60))
+    t = F.col("text")
     return table(spark, d, "documents").select("doc_id", N.slug(t).alias("slug"), N.course_label(t).alias("label"))
 
 

@@ -76,11 +76,11 @@ def parse_regions(spark, d):
     return sess_events(spark, d).select("session_id", W.region_of(raw).alias("r")).select("session_id", "r.region_id", F.col("r.start").alias("start_sec"), F.col("r.end").alias("end_sec"))
 
 
-@query("SELECT item_id, '---' || chr(10) || 'title: \"' || left(text, 10) || '\"' || chr(10) || 'id: \"' || item_id || '\"' || chr(10) || '---' || chr(10) AS head, text AS body, replace(text, ' the ', ' $x$ ') AS math, 'Ask: ' || left(text, 5) AS prompt FROM benchmark")
+@query("SELECT item_id, '---' || chr(10) || 'title: \"' || text || '\"' || chr(10) || 'id: \"' || item_id || '\"' || chr(10) || '---' || chr(10) AS head, text AS body, replace(text, ' the ', ' $x$ ') AS math, 'Ask: ' || text AS prompt FROM benchmark")
 def note_texts(spark, d):
     b = table(spark, d, "benchmark")
     t = F.col("text")
-    head = M.front_matter(title=F.left(t, F.lit(10)), nothing=F.lit(None).cast("string"), id=F.col("item_id"))
+    head = M.front_matter(title=t, nothing=F.lit(None).cast("string"), id=F.col("item_id"))
     wrapped = F.concat(F.lit("```markdown\n"), head, t, F.lit("\n```"))
     math = M.dollar_math(F.replace(t, F.lit(" the "), F.lit(r" \( x \) ")))
-    return b.select("item_id", head.alias("head"), M.without_front_matter(M.without_fence(wrapped)).alias("body"), math.alias("math"), M.rendered("Ask: {{TEXT}}", TEXT=F.left(t, F.lit(5))).alias("prompt"))
+    return b.select("item_id", head.alias("head"), M.without_front_matter(M.without_fence(wrapped)).alias("body"), math.alias("math"), M.rendered("Ask: {{TEXT}}", TEXT=t).alias("prompt"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions.names import hhmmss
+from chronotext.operators.sequence import numbered
 
 
 def in_order(order: Column | str, value: Column, by: str = "\n") -> Column:
@@ -42,8 +43,9 @@ def draft_markdown(sections: DataFrame, items: DataFrame) -> DataFrame:
 
 def export_manifest(files: DataFrame) -> DataFrame:
     """session_id, number (three digits, by case-insensitive path), name, sha256, size."""
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy(F.lower("path"), "path"))
-    return files.select("session_id", F.lpad(n.cast("string"), 3, "0").alias("number"), "path", "sha256", "size")
+    out = numbered(files, ["session_id"], [F.lower("path"), F.col("path")], "number", ties=[F.col("sha256")])
+    n = F.col("number").cast("string")  # three digits at least: lpad would cut longer ones
+    return out.select("session_id", F.lpad(n, F.greatest(F.length(n), F.lit(3)), "0").alias("number"), "path", "sha256", "size")
 
 
 def manifest_json(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronotext.config import PrivacyConfig
@@ -322,3 +323,36 @@ def test_backoff(spark):
     rows = [("f", 1, 1, 1, False, False), ("f", 2, 1, 1, False, False), ("g", 1, 1, 1, False, True), ("g", 9, 2, 1, False, True), ("h", 1, 1, 1, True, False)]
     out = G.backoff_state(spark.createDataFrame(rows, "path string, at int, size int, mtime int, ok boolean, incomplete boolean"))
     assert values(out, "path", "failures", "retry_at") == [("f", 2, 62), ("g", 1, 24)]
+
+
+def test_numbered_and_followed_over_ranges(spark):
+    """A hot key over many ranges: places and neighbours as one window gives them."""
+    from chronotext.operators import catalog, sequence
+
+    rng = random.Random(3)
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"k{k % 5}", None if k % 13 == 0 else rng.randint(0, 60), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    order = [F.col("t"), F.col("i")]
+    w = Window.partitionBy("k").orderBy(F.asc_nulls_first("t"), "i")
+    ties = Window.partitionBy("k").orderBy(F.asc_nulls_first("t"))
+    plain = df.withColumn("p", F.row_number().over(w)).withColumn("r", F.rank().over(ties)).withColumn("b", F.lag("i").over(w))
+    want = {r.i: (r.p, r.r, r.b) for r in plain.collect()}
+    for few in (0, 10**6):
+        got = sequence.numbered(df, ["k"], order[:1], "p", ties=order[1:], few=few, parts=7)
+        got = sequence.numbered(got, ["k"], order[:1], "r", few=few, parts=7)
+        got = sequence.followed(got, ["k"], order, "i", "b", few=few, parts=7)
+        assert {r.i: (r.p, r.r, r.b) for r in got.collect()} == want and got.columns == ["k", "t", "i", "p", "r", "b"]
+    number = {r.i: r.number for r in catalog.course_sequence(df, "k", "t").collect()}
+    for k, t, i in rows:
+        others = [x for g, x, _ in rows if g == k and x is not None]
+        assert number[i] == 1 + (len(others) if t is None else sum(x < t for x in others))
+
+
+def test_long_runs_of_equal_lines(spark):
+    """A session of one line, many times: one run with all ids, in time proportional to its length."""
+    from chronotext.operators import repair
+
+    n = 40_000
+    seg = spark.range(n).selectExpr("'s' AS session_id", "cast(id AS int) AS id", "'the same line again' AS text", "cast(id AS double) AS seg_start", "cast(id + 1 AS double) AS seg_end")
+    out = repair.candidates(seg).selectExpr("seg_start", "seg_end", "size(ids) AS n", "reasons").collect()
+    assert [(r.seg_start, r.seg_end, r.n) for r in out if "cross_segment_repetition" in r.reasons] == [(0.0, float(n), n)]
