@@ -71,7 +71,7 @@ def release(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-            jvm.System.gc()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

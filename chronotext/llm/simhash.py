@@ -220,15 +220,17 @@ def _least_common(n, similar: float):
 
 
 def _suspects(rows: DataFrame, similar: float) -> DataFrame:
-    """node, fp, n of the distinct texts that have enough first shingles in common with others."""
-    first = materialize(rows.select("node", "fp", "n", "first").dropDuplicates(["node"]), "first")
-    every = first.select("node", F.explode("first").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
-    # the other text may be smaller by the factor similar, and then shares so many less
-    enough = F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
-    counts = every.join(shared, "key", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-    out = materialize(counts.join(first.select("node", "fp", "n"), "node").where(F.col("shared") >= enough).select("node", "fp", "n"), "suspects")
-    release(first)
+    """node, fp, n of the distinct texts that have enough first shingles in common with others. What grows with the data is joined by sorting,
+    never sent to all executors."""
+    every = rows.select("node", F.explode("first").alias("key"))
+    shared = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    counts = every.join(shared.hint("merge"), "key", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    texts = rows.groupBy("node").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    # each copy of a text has counted its shingles; the other text may be smaller by the factor similar, and then shares so many less
+    enough = F.col("copies") * F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
+    out = materialize(counts.join(texts.hint("merge"), "node").where(F.col("shared") >= enough).select("node", "fp", "n"), "suspects")
+    del every, shared, counts, texts
+    release()
     return out
 
 
@@ -244,16 +246,17 @@ def similar_links(texts: DataFrame, rows: DataFrame, similar: float = COPY) -> D
 
     nodes = _suspects(rows, similar)
     # one shuffle of the texts: equal ones are where the join has put them
-    own = texts.select("node", "text").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    own = texts.select("node", "text").join(nodes.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     all_keys = materialize(own.select("node", "text").mapInArrow(explode, "node long, keys array<long>"), "shingles")
     every = all_keys.select("node", F.explode("keys").alias("key"))
     twice = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # the rarest shingles first, so that a common passage pairs no texts that are not made of it
-    sets = every.join(twice, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).join(nodes, "node")
+    sets = every.join(twice.hint("merge"), "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).join(nodes, "node")
     least = F.ceil(F.col("n") * similar - 1e-9).cast("int")
     sets = sets.where(F.size("keys") >= least).withColumn("take", F.size("keys") - least + 1)
     # a text whose shingles are those of many others is a good pivot: copies are likelier similar to their original than to each other
     sets = materialize(sets.withColumn("score", F.aggregate("keys", F.lit(0.0), lambda a, k: a + k["df"]) / F.col("n")), "sets")
+    del every, twice, own
     release(all_keys, nodes)
     places = sets.select("node", "n", "score", F.size("keys").alias("size"), F.posexplode(F.slice("keys", 1, F.col("take"))).alias("pos", "k"))
     prefix = materialize(places.select(F.col("k.key").alias("key"), "node", "n", "score", (F.col("size") - F.col("pos")).alias("left")), "prefixes")
