@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import materialize, release, shuffle_partitions, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints on which the shared tree is fitted, the fingerprints that a shard should have, and the tree's size. A larger table has larger
@@ -219,17 +219,77 @@ def _least_common(n, similar: float):
     return np.ceil(n * similar - 1e-9).astype(np.int64)
 
 
+def _distinct(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, nodes) without repeated pairs, sorted; whether each key is there with several nodes."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    several = again.copy()
+    several[:-1] |= again[1:]
+    return keys, nodes, several
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *values]), kind))
+
+
+def shared_counts(rows: DataFrame, parts: int) -> DataFrame:
+    """node, shared: how many of a text's first shingles another text has (a copy of the text is none; a text with copies may count more). Shingles
+    are dealt to parts by their hash, packed in arrays. One that several texts of a batch have is settled there: only its mark is sent, so a
+    common shingle costs its part no more than a row for each batch. A part's shingles are held at once (16 bytes each)."""
+
+    def deal(batches):
+        for b in batches:
+            own = b.column(1)
+            lens = np.diff(np.asarray(own.offsets))
+            keys, nodes, several = _distinct(own.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), lens))
+            marks = np.unique(keys[several])
+            seen, counts = np.unique(nodes[several], return_counts=True)
+            keys, nodes = keys[~several], nodes[~several]
+            part = lambda k: ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+            order = np.lexsort((nodes, part(keys)))
+            keys, nodes = keys[order], nodes[order]
+            cut = lambda v, p: np.split(v, np.searchsorted(p, np.arange(1, parts)))
+            by, mark = part(keys), marks[np.argsort(part(marks), kind="stable")]
+            home = seen.view(np.uint64).astype(np.uint64) % np.uint64(parts)
+            place = np.argsort(home, kind="stable")
+            home = home[place].astype(np.int64)
+            columns = [_lists(cut(keys, by), pa.int64()), _lists(cut(nodes, by), pa.int64()), _lists(cut(mark, part(mark)), pa.int64()), _lists(cut(seen[place], home), pa.int64()), _lists(cut(counts[place], home), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), *columns], ["part", "keys", "nodes", "marks", "seen", "counts"])
+
+    def count(batches):
+        held = [[], [], [], [], []]
+        for b in batches:
+            for k in range(5):
+                held[k].append(b.column(k + 1).flatten().to_numpy(zero_copy_only=False))
+        if held[0]:
+            keys, nodes, marks, seen, counts = (np.concatenate(v) for v in held)
+            keys, nodes, several = _distinct(keys, nodes)
+            marks = np.unique(marks)
+            if len(marks):
+                several |= marks[np.minimum(np.searchsorted(marks, keys), len(marks) - 1)] == keys
+            own, n = np.unique(nodes[several], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, seen]), pa.int64()), pa.array(np.concatenate([n, counts]).astype(np.int64))], ["node", "shared"])
+
+    dealt = rows.select("node", "first").mapInArrow(deal, "part int, keys array<long>, nodes array<long>, marks array<long>, seen array<long>, counts array<long>")
+    found = dealt.repartitionById(parts, F.col("part")).mapInArrow(count, "node long, shared long")
+    return found.groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
 def _suspects(rows: DataFrame, similar: float) -> DataFrame:
     """node, fp, n of the distinct texts that have enough first shingles in common with others. What grows with the data is joined by sorting,
     never sent to all executors."""
-    every = rows.select("node", F.explode("first").alias("key"))
-    shared = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    counts = every.join(shared.hint("merge"), "key", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-    texts = rows.groupBy("node").agg(F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("n").alias("n"))
-    # each copy of a text has counted its shingles; the other text may be smaller by the factor similar, and then shares so many less
-    enough = F.col("copies") * F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
+    texts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+    # the other text may be smaller by the factor similar, and then shares so many less
+    enough = F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
+    counts = shared_counts(rows, shuffle_partitions(rows.sparkSession))
     out = materialize(counts.join(texts.hint("merge"), "node").where(F.col("shared") >= enough).select("node", "fp", "n"), "suspects")
-    del every, shared, counts, texts
+    del counts, texts
     release()
     return out
 

@@ -617,6 +617,20 @@ def test_chain_of_links(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_shared_shingles_are_counted(spark):
+    rng = random.Random(2)
+    texts = {k: rng.sample(range(-60, 60), rng.randint(0, 12)) + [7] * (k % 3 == 0) for k in range(-40, 40)}
+    texts = {k: sorted(set(v)) for k, v in texts.items()}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items() for _ in range(1 + (k == 5))], "node long, first array<long>").repartition(5)
+    got = {r.node: r.shared for r in simhash.shared_counts(df, 6).collect()}
+    of = Counter(x for v in texts.values() for x in v)
+    for k, v in texts.items():
+        want = sum(of[x] > 1 for x in v)
+        assert got.get(k, 0) == want or (k == 5 and want <= got[k] <= 2 * want)
+    lone = spark.createDataFrame([(1, [3, 4])] * 3 + [(2, [5])], "node long, first array<long>")
+    assert simhash.shared_counts(lone, 3).count() == 0 == simhash.shared_counts(lone.limit(0), 3).count()
+
+
 def test_copies_beyond_the_radius_are_linked(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
