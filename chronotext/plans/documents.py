@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from chronotext.functions import names as N
@@ -226,29 +223,6 @@ def inbox_outcomes(spark, d):
     return G.inbox(o.select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderdate").alias("mtime")), known).select("batch_id", "outcome")
 
 
-@query("SELECT DISTINCT source, sha256(coalesce(text, '')) AS sha256 FROM documents")
-def stream_content_dedup(spark, d):
-    return _drained(spark, f"{d}/documents.parquet", lambda f: G.dedup_content(f.select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).withColumn("sha256", F.concat_ws(":", "source", "h"))).select("source", F.col("h").alias("sha256")))
-
-
-@query()
-def stream_stability(spark, d):
-    s = lambda f: f.select(F.concat_ws("/", "user_id", "event_type").alias("path"), (F.col("user_id") % 3).cast("long").alias("size"), F.lit(1704067200.0).alias("mtime"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("seen"))
-    return _drained(spark, f"{d}/events.parquet", lambda f: G.stable_files(s(f)))
-
-
-def _drained(spark, path: str, transform):
-    """A file stream run to its end; the rows land in the shared folder and are read back."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronotext-")
-    at = f"{root.rstrip('/')}/chronotext/stream-{uuid.uuid4().hex}"
-    # a file stream reads a folder; the single file is named by its glob
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*" if not path.endswith("*") else path)
-    out = transform(stream)
-    q = out.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/rows")
-
-
 @query()
 def json_document_types(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("session_id"), F.when(F.col("event_id") % 3 == 0, F.lit('{"k": true}')).when(F.col("event_id") % 3 == 1, F.lit('{"k": 1, "x": 2}')).otherwise(F.col("props")).alias("doc"))

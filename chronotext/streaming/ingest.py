@@ -1,16 +1,14 @@
-"""The ingest loop as Structured Streaming: content dedup, stability samples, backoff, and ordered stages a batch."""
+"""The ingest loop as Structured Streaming: content dedup, ordered stages a batch, the inbox of returned packages; backoff as a batch fold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Seconds to wait after the n-th failure, for real errors and for files that are still being written.
-BACKOFF, INCOMPLETE_BACKOFF = (30, 60, 120, 300, 600, 1800), (15, 30, 60)
+from .stateful import BACKOFF, INCOMPLETE_BACKOFF
 
 
 def dedup_content(files: DataFrame, watermark: str | None = None, delay: str = "30 minutes") -> DataFrame:
@@ -20,27 +18,6 @@ def dedup_content(files: DataFrame, watermark: str | None = None, delay: str = "
     return files.dropDuplicates(["sha256"])
 
 
-def stable_files(samples: DataFrame, checks: int = 2, quiet_seconds: float = 10.0) -> DataFrame:
-    """path, size, mtime once a file's last `checks` samples agree and it was quiet; samples: path, size, mtime, seen
-    (seconds). Works on streams, keeping a few samples a path in state."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, mtime, n, told = state.get if state.exists else (-1, -1.0, 0, False)
-        rows = pd.concat(list(batches)).sort_values("seen")
-        out = []
-        for s, m, seen in zip(rows["size"], rows["mtime"], rows["seen"], strict=True):
-            n, told = (n + 1, told) if (s, m) == (size, mtime) else (1, False)
-            size, mtime = int(s), float(m)
-            if not told and n >= checks and seen - m >= quiet_seconds:
-                out.append((key[0], size, mtime))
-                told = True
-        state.update((size, mtime, n, told))
-        if out:
-            yield pd.DataFrame(out, columns=["path", "size", "mtime"])
-
-    return samples.groupBy("path").applyInPandasWithState(update, "path string, size long, mtime double", "size long, mtime double, n int, told boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def retry_at(failures, at, incomplete):
     """Column: when a file may be tried again after so many failures."""
     table = lambda t: F.element_at(F.array(*map(F.lit, t)), F.least(F.greatest(failures, F.lit(1)), F.lit(len(t))).cast("int"))
@@ -84,3 +61,40 @@ def inbox(returned: DataFrame, known: DataFrame) -> DataFrame:
     """Returned packages in order of arrival: accepted if their batch is open, processed if done, else rejected."""
     both = returned.join(known.select("batch_id", F.col("status").alias("_s")), "batch_id", "left")
     return both.withColumn("outcome", F.when(F.col("_s") == "open", "accepted").when(F.col("_s") == "done", "processed").otherwise("rejected")).drop("_s").orderBy("mtime", "batch_id")
+
+
+def inbox_rows(spark: SparkSession, root: str) -> DataFrame | None:
+    """What the inbox at root holds: package, batch_id, mtime, outcome, micro (the micro-batch that took it in); None before the first."""
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/outcomes")
+    except AnalysisException:
+        return None
+
+
+def inbox_stream(returned: DataFrame, known: DataFrame, root: str, fail_after: Callable[[int], bool] = lambda number: False):
+    """A writer that takes returned packages in as they come. returned: package (unique), batch_id, mtime; known: batch_id, status.
+
+    The first package of an open batch, by mtime and package, is ``accepted`` and closes it; later ones of it, and those of a batch that is done, are
+    ``processed``; all others are ``rejected``. A micro-batch is one folder, replaced as a whole: whether a batch was closed before is read from the folders
+    of smaller numbers only, so a micro-batch that is repeated after a failure gives the same rows and counts no package twice. fail_after is for
+    tests: it stops the query after a micro-batch's rows are written and before Spark has noted it."""
+    root = root.rstrip("/")
+
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = known.groupBy("batch_id").agg(F.max(F.struct(F.col("status") == "open", F.col("status") == "done")).alias("s"))
+        rows = batch.select("package", "batch_id", "mtime").join(state, "batch_id", "left")
+        before = inbox_rows(spark, root)
+        closed = spark.createDataFrame([], returned.select("batch_id").schema) if before is None else before.where((F.col("micro") < number) & (F.col("outcome") == "accepted")).select("batch_id").distinct()
+        rows = rows.join(closed.withColumn("closed", F.lit(True)), "batch_id", "left")
+        # one row a batch, combined before the shuffle; no window over the packages of a batch
+        first = batch.groupBy("batch_id").agg(F.min(F.struct("mtime", "package")).alias("f"))
+        rows = rows.join(first, "batch_id", "left")
+        is_open, is_done = (F.coalesce(F.col("s")[c], F.lit(False)) for c in ("col1", "col2"))
+        leads = F.struct("mtime", "package").eqNullSafe(F.col("f"))
+        outcome = F.when(is_open & F.col("closed").isNull() & leads, "accepted").when(is_open | is_done, "processed").otherwise("rejected")
+        rows.select("package", "batch_id", "mtime", outcome.alias("outcome")).write.mode("overwrite").parquet(f"{root}/outcomes/micro={number}")
+        if fail_after(number):
+            raise RuntimeError(f"stopped after micro-batch {number}")
+
+    return returned.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/state")
