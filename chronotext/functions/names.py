@@ -42,7 +42,7 @@ def identity_prefix(session_id: Column, date: Column, start: Column, course: Col
 
 
 def session_id(date: Column, start: Column, course: Column, number: Column) -> Column:
-    return F.concat_ws("_", date, F.coalesce(F.date_format(start, "HHmm"), F.lit("0000")), slug(course), F.lpad(number.cast("string"), 3, "0"))
+    return F.concat_ws("_", date, F.coalesce(F.date_format(start, "HHmm"), F.lit("0000")), slug(course), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))
 
 
 def _two(c: Column) -> Column:

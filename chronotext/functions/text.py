@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
+import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -59,6 +62,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?U)" + TOKEN), F.lit(0))
 
 
+def tile_runs(codes: np.ndarray, sizes: np.ndarray, most: int = 12) -> np.ndarray:
+    """For each text (its characters' codes, one text after the other, of these sizes): how often, at most, a unit of 1 to `most` characters, counted off
+    from the text's start, stands in a row. One pass a unit: the text is compared with itself shifted by the unit, and a unit that is equal to the next throughout goes on."""
+    starts = np.cumsum(sizes) - sizes
+    best = np.minimum(sizes // 2, 1)
+    for u in range(1, most + 1):
+        n = np.maximum(sizes // u - 1, 0)  # units that have a next one
+        if not n.any():
+            break
+        alike = np.concatenate([[0], np.cumsum(codes[:-u] == codes[u:])])
+        own = np.flatnonzero(n)
+        n, first = n[own], np.cumsum(n[own]) - n[own]
+        at = np.arange(n.sum())
+        unit = np.repeat(starts[own], n) + (at - np.repeat(first, n)) * u
+        same = alike[unit + u] - alike[unit] == u
+        reset = np.where(same, -1, at)
+        begins = np.zeros(len(at), bool)
+        begins[first] = True
+        reset = np.maximum.accumulate(np.where(same & begins, at - 1, reset))
+        best[own] = np.maximum(best[own], np.maximum.reduceat(at - reset, first) + 1)
+    return best
+
+
+@F.pandas_udf(IntegerType())
+def _longest_tiles(key: pd.Series) -> pd.Series:
+    texts = key.fillna("")
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return pd.Series(tile_runs(codes, texts.str.len().to_numpy(np.int64)), dtype="int32")
+
+
 def longest_run(text: Column) -> Column:
     """Longest run of equal tokens, or of a unit of 1 to 12 characters repeated without a break."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -67,16 +100,7 @@ def longest_run(text: Column) -> Column:
         run = F.when(a["last"].eqNullSafe(t), a["run"] + 1).otherwise(1)
         return F.struct(t.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    by_token = F.aggregate(tokens(text), start, step, lambda a: a["best"])
-
-    def periodic(k: Column) -> Column:
-        def units(u: int) -> Column:
-            found = F.transform(F.regexp_extract_all(k, F.lit(rf"(?s)(.{{{u}}})\1*"), F.lit(0)), lambda m: F.floor(F.length(m) / u).cast("int"))
-            return F.when(F.length(k) >= 2 * u, F.coalesce(F.array_max(found), F.lit(0))).otherwise(0)
-
-        return F.greatest(*map(units, range(1, 13)))
-
-    return F.greatest(by_token, let(normalized(text), periodic))
+    return F.greatest(F.aggregate(tokens(text), start, step, lambda a: a["best"]), _longest_tiles(normalized(text)))
 
 
 def visual_labels(text: Column) -> Column:
@@ -93,27 +117,51 @@ def deflated_bytes(key: pd.Series) -> pd.Series:
     return key.map(lambda k: len(zlib.compress(k.encode())) if k else 0).astype("int32")
 
 
+#: Automata of this worker, by the terms' digest; one is enough for a query.
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton(terms: list[str]) -> ahocorasick.Automaton:
+    """Finds all terms in one pass over a text, however many there are."""
+    out = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        out.add_word(t, (k, len(t)))
+    if terms:
+        out.make_automaton()
+    return out
+
+
+def echo_spans(found: ahocorasick.Automaton, key: str) -> tuple[int, float]:
+    """(terms that occur, share of the text that they cover). A term's occurrences are taken from the left without overlap; those of different
+    terms may overlap. A term's occurrences end in rising order, so what it has covered so far is one number a term."""
+    if not len(found):
+        return 0, 0.0
+    until: dict[int, int] = {}
+    spans = []
+    for last, (k, n) in found.iter(key):
+        if last + 1 - n >= until.get(k, 0):
+            until[k] = last + 1
+            spans.append((last + 1 - n, last + 1))
+    covered = end = 0
+    for a, b in sorted(spans):
+        covered += max(0, b - max(a, end))
+        end = max(end, b)
+    return len(until), covered / max(1, len(key))
+
+
 def prompt_echo(terms: list[str]):
-    """Column function: struct(terms, coverage) of a normal key. terms: normal keys of a bounded glossary."""
+    """Column function: struct(terms, coverage) of a normal key. terms: normal keys of a glossary. They are broadcast once; a worker builds its
+    automaton from them once."""
     known = list(dict.fromkeys(t for t in terms if len(t) >= 2))
-
-    def covered(key: str) -> tuple[int, float]:
-        spans, hit = [], 0
-        for t in known:
-            at = key.find(t)
-            hit += at >= 0
-            while at >= 0:
-                spans.append((at, at + len(t)))
-                at = key.find(t, at + len(t))
-        n = end = 0
-        for a, b in sorted(spans):
-            n += max(0, b - max(a, end))
-            end = max(end, b)
-        return hit, n / max(1, len(key))
+    digest = hashlib.sha256("\n".join(known).encode()).hexdigest()
+    shared = SparkSession.active().sparkContext.broadcast(known)
 
     @F.pandas_udf("terms int, coverage double")
     def echo(key: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([covered(k or "") for k in key], columns=["terms", "coverage"])
+        if digest not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[digest] = automaton(shared.value)
+        return pd.DataFrame([echo_spans(_AUTOMATA[digest], k or "") for k in key], columns=["terms", "coverage"])
 
     return echo
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import numbered
+from chronotext.sources.shared import materialized
+
+from .sequence import numbered, running
 
 
 def upsert(rows: DataFrame, key: list[str], seq: str, overwrite: list[str] = (), keep_known: list[str] = (), first: list[str] = ()) -> DataFrame:
@@ -44,6 +46,46 @@ def guarded_delete(parents: DataFrame, key: str, gone: Column, *children: DataFr
     return parents.where(~gone).unionByName(held)
 
 
+def free_suffixes(wanted: DataFrame, taken: DataFrame, base: str, seq: str, order: str, name: str = "suffix", rows: int = 1 << 16) -> DataFrame:
+    """Gives each wanted (base, seq) the least number from seq on that neither taken (base, seq) nor a wanted row before it has; rows come
+    in the order of seq, then order (unique whole numbers). Numbers start at 1.
+
+    Assigned in parallel: among the free numbers of a base, counted from 0, a row stands at p = max(place of its seq, p of the row before + 1), which is its
+    rank plus a running maximum; how many taken numbers lie below is a running count both ways. Bases with many rows are split."""
+    b, none = F.col(base).alias("_base"), F.lit(None).cast("long")
+    held = taken.select(b, F.col(seq).cast("long").alias("_at")).where("_at >= 1").distinct().select("_base", "_at", none.alias("_order"), F.lit(1).alias("_taken"))
+    asked = wanted.select(b, F.greatest(F.col(seq).cast("long"), F.lit(1).cast("long")).alias("_at"), F.col(order).cast("long").alias("_order"), F.lit(0).alias("_taken"))
+    # _at ascending, a wanted row before the taken number it asks for
+    line = [F.struct(F.col("_at"), F.when(F.col("_taken") == 1, F.lit(1 << 62)).otherwise(F.floor(F.col("_order") / rows))), F.floor(F.col("_at") / rows)]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    both = running(held.unionByName(asked), ["_base"], line, [F.col("_at"), F.col("_taken"), F.col("_order")], F.col("_taken").cast("long"), "_below", F.sum)
+    both = materialized(both.withColumn("_below", zero("_below")), "numbers")
+    own = running(both.where("_taken = 0"), ["_base"], line, [F.col("_at"), F.col("_order")], F.lit(1).cast("long"), "_rank", F.sum).withColumn("_rank", zero("_rank"))
+    own = materialized(own.withColumn("_slack", F.col("_at") - 1 - F.col("_below") - F.col("_rank")), "ranks")
+    own = running(own, ["_base"], line, [F.col("_at"), F.col("_order")], F.col("_slack"), "_most").withColumn("_place", F.col("_rank") + F.greatest("_slack", "_most"))
+    # a taken number has _at - 1 - _below free ones below it; a row lies beyond all that have no more than its place
+    gates = both.where("_taken = 1").groupBy("_base", (F.col("_at") - 1 - F.col("_below")).alias("_place")).agg(none.alias("_order"), F.count("*").alias("_gates"))
+    met = gates.unionByName(own.select("_base", "_place", "_order", F.lit(0).cast("long").alias("_gates")))
+    met = running(met, ["_base"], [F.floor(F.col("_place") / rows)], [F.col("_place"), F.col("_gates").desc()], F.col("_gates"), "_passed", F.sum)
+    found = met.where("_gates = 0").select(F.col("_order").alias("_o"), (F.col("_place") + 1 + zero("_passed")).alias(name))
+    return wanted.join(found, F.col(order) == F.col("_o")).drop("_o")
+
+
+def rename_all(parents: DataFrame, children: list[DataFrame], key: str, moves: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(parents, children, refused) after moves (old, new): children of old are re-pointed to new and the old parent goes. A move is refused, and
+    changes nothing, if its target is no parent, is itself moved away, or old is moved twice; so is one onto itself."""
+    asked = moves.select("old", "new").distinct()
+    known = parents.select(F.col(key).alias("new")).distinct().withColumn("_known", F.lit(True))
+    twice = asked.groupBy("old").agg(F.count("*").alias("_n"))
+    leaves = asked.select(F.col("old").alias("new")).distinct().withColumn("_leaves", F.lit(True))
+    judged = asked.join(known, "new", "left").join(twice, "old").join(leaves, "new", "left")
+    why = F.when(F.col("old").eqNullSafe(F.col("new")), "itself").when(F.col("_known").isNull(), "unknown_target").when(F.col("_n") > 1, "moved_twice").when(F.col("_leaves"), "target_moves")
+    judged = judged.withColumn("reason", why)
+    done = judged.where("reason IS NULL").select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    moved = [c.join(done, F.col(key) == F.col("_old"), "left").withColumn(key, F.coalesce("_new", key)).select(*c.columns) for c in children]
+    return parents.join(done, F.col(key) == F.col("_old"), "left_anti"), moved, judged.where("reason IS NOT NULL").select("old", "new", "reason")
+
+
 def rename(frames: list[DataFrame], key: str, old: str, new: str) -> list[DataFrame]:
     """Re-points old to new in each frame; the first is the parent, whose old row goes."""
     out = [frames[0].where(F.col(key) != old)]

@@ -14,6 +14,19 @@ def fingerprint(*columns: Column | str) -> Column:
     return F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in named)), {"ignoreNullFields": "false"}), 256)
 
 
+def canonical_json(text: Column) -> Column:
+    """The JSON document with its keys sorted at every depth and nothing between its parts: a VARIANT keeps an object's fields in the order of their
+    names. Equal to json.dumps(..., sort_keys=True, separators=(",", ":"), ensure_ascii=False), but for numbers with a fraction or exponent: a fraction
+    of zeros goes (1.0 is 1), powers of ten are written as Spark writes doubles. Names are ordered as UTF-16. Null for what is no JSON, and
+    for objects that repeat a name."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def document_fingerprint(text: Column) -> Column:
+    """SHA-256 of the canonical form: documents that differ in the order of keys or in white space have the same."""
+    return F.sha2(canonical_json(text), 256)
+
+
 def cache_key(print_: Column, stage: str, index: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", print_, F.lit(stage), index.cast("string"), text), 256)
 

@@ -101,6 +101,39 @@ def followed(df: DataFrame, on: list[str], order: list[Column], value: str, name
     return out.select(*df.columns, F.coalesce("_here", "_last").getField(value).alias(name))
 
 
+def running(df: DataFrame, on: list[str], buckets: list[Column], order: list[Column], value: Column, name: str, how=F.max) -> DataFrame:
+    """Adds the sum or maximum of value over all rows before, in the order of each on (null for the first). Buckets, from fine to coarse, grow with the
+    order: rows are dealt to (on, finest bucket), and what earlier buckets hold is carried over by one row a bucket, which are dealt to the
+    next coarser buckets in their turn. So a long key isn't one task's."""
+    fine, *coarse = buckets
+    at, own, total, carry, inside = (f"_{c}{len(coarse)}" for c in ("bucket", "value", "total", "carry", "inside"))
+    up = [f"_coarse{len(coarse)}_{i}" for i in range(len(coarse))]
+    dealt = df.withColumn(at, fine).withColumn(own, value)
+    before = how(own).over(_before(Window.partitionBy(*on, at).orderBy(*order)))
+    totals = dealt.withColumns(dict(zip(up, coarse, strict=True))).groupBy(*on, at).agg(how(own).alias(total), *(F.max(c).alias(c) for c in up))
+    if coarse:
+        totals = running(totals, on, [F.col(c) for c in up], [F.col(at)], F.col(total), carry, how)
+    else:
+        totals = totals.withColumn(carry, how(total).over(_before(Window.partitionBy(*on).orderBy(at))))
+    totals = totals.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col(at).alias("_b"), carry)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)]
+    out = dealt.withColumn(inside, before).join(totals, [*same, F.col(at).eqNullSafe(F.col("_b"))])
+    both = F.greatest(inside, carry) if how is F.max else F.coalesce(F.col(inside) + F.col(carry), F.col(inside), F.col(carry))
+    return out.select(*df.columns, both.alias(name))
+
+
+def gaps(df: DataFrame, on: list[str], span: tuple[str, str], least: float = 0.0, most: float | None = None, bucket: float = 4096.0) -> DataFrame:
+    """The complement of the spans inside each on: gap_start and gap (its length, over `least`, or at least it where that isn't 0) between all
+    that has ended before and the next start. Touching and overlapping spans leave none; spans that end before they start, or have a
+    null, are not read. Split by time, so long sessions are no one task's."""
+    lo, hi = (F.col(c) for c in span)
+    whole = df.where(hi >= lo).select(*on, *span)
+    ended = running(whole, on, [F.floor(lo / bucket)], [lo, hi], hi, "gap_start")
+    gap = lo - F.col("gap_start")
+    wide = (gap > 0) & (gap >= least) & (F.lit(True) if most is None else gap <= most)
+    return ended.where(wide).select(*on, "gap_start", gap.alias("gap"))
+
+
 def clamp(df: DataFrame, on: list[str], duration: str) -> DataFrame:
     """Monotone timeline: spans are cut to [0, duration] and start where all before them have ended; blank or empty ones go."""
     cut = df.withColumn("seg_start", F.greatest(F.lit(0.0), "seg_start")).withColumn("seg_end", F.least(duration, "seg_end"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.sources.shared import materialized
+
 # The stages of the chain, in order.
 STAGES = ("clean", "structure", "knowledge", "draft")
 
@@ -24,6 +29,40 @@ def next_stage(done: DataFrame) -> DataFrame:
     return held.select("session_id", out.alias("next"))
 
 
+def fixpoint(rows: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, goes_on: str = "_goes_on") -> DataFrame:
+    """Applies step until nothing moves: it returns the rows with a flag whether they go on, and those that do are all that the next round reads. Each round
+    is one table in the shared folder. Rows that still move after the last round are returned as they are."""
+    settled, moving = [], rows
+    for k in range(rounds):
+        now = materialized(step(moving), f"round{k}")
+        settled.append(now.where(~F.col(goes_on)).drop(goes_on))
+        moving = now.where(F.col(goes_on)).drop(goes_on)
+        if moving.isEmpty():
+            break
+    else:
+        settled.append(moving)
+    return reduce(DataFrame.unionByName, settled)
+
+
+def auto_advance(sessions: DataFrame, prepare: Callable[[DataFrame], DataFrame], stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """Takes every session on from its last finished stage until a stage waits for an answer, or the last is prepared. sessions: session_id, stage and what
+    prepare needs; prepare: adds or replaces columns for the stage now in ``stage`` and says in ``waits`` whether it waits (null: it does not). Sessions
+    past the last stage, or in none of them, stay as they are with waits false. Adds ``advanced``, the stages prepared."""
+    order = F.array(*map(F.lit, stages))
+    place = F.array_position(order, F.col("stage"))
+
+    def step(rows: DataFrame) -> DataFrame:
+        ready = rows.withColumn("stage", F.element_at(order, (place + 1).cast("int"))).withColumn("advanced", F.col("advanced") + 1)
+        told = prepare(ready).withColumn("waits", F.coalesce("waits", F.lit(False)))
+        return told.withColumn("_goes_on", ~F.col("waits") & (place < len(stages)))
+
+    movable = (place > 0) & (place < len(stages))
+    start = sessions.withColumn("advanced", F.lit(0))
+    there = fixpoint(start.where(F.coalesce(movable, F.lit(False))), step, len(stages) - 1)
+    rest = start.where(~F.coalesce(movable, F.lit(False)))
+    return there.unionByName(rest.withColumn("waits", F.lit(False)), allowMissingColumns=True)
+
+
 def select_region(regions: DataFrame, segments: DataFrame, region_id: int | None = None, start: float = 0.0, end: float = 0.0, padding: float = 15.0) -> DataFrame:
     """The region of that id, or those that overlap [start, end); if none does, one made of the segments there."""
     cols = ["session_id", "region_id", "seg_start", "seg_end", "window_start", "window_end", "ids"]

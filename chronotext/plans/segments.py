@@ -59,7 +59,11 @@ def derivation_cues(spark, d):
     return s.where(T.derivation_cue(F.col("text"))).select("session_id", "id")
 
 
-@query()
+_COUNT = "list_reduce([{'l': NULL::VARCHAR, 'r': 0, 'b': 0}] || list_transform(%s, lambda t: {'l': t, 'r': 0, 'b': 0}), lambda a, x: {'l': x.l, 'r': CASE WHEN a.l = x.l THEN a.r + 1 ELSE 1 END, 'b': greatest(a.b, CASE WHEN a.l = x.l THEN a.r + 1 ELSE 1 END)}).b"
+_TILES = ", ".join("CASE WHEN length(key) >= %d THEN " % (2 * u) + _COUNT % f"list_transform(range(length(key) // {u}), lambda k: substr(key, k * {u} + 1, {u}))" + " ELSE 0 END" for u in range(1, 13))
+
+
+@query(SEG + rf", k AS (SELECT session_id, id, {KEY} AS key, regexp_extract_all(lower(text), '[a-z]+(?:-[a-z0-9]+)*|\d+|[\x{{3400}}-\x{{9fff}}]+') AS ts FROM seg) SELECT session_id, id, greatest({_COUNT % 'ts'}, {_TILES})::INTEGER AS longest_run FROM k")
 def longest_repeat_run(spark, d):
     return seg_docs(spark, d).select("session_id", "id", T.longest_run(F.col("text")).alias("longest_run"))
 
@@ -77,7 +81,11 @@ def glossary_terms(spark, d, most: int = 200) -> list[str]:
     return [r[0] for r in first.select("term").collect()]
 
 
-@query()
+@query(SEG + f""", gw AS (SELECT item_id, string_split(lower(text), ' ') AS ws FROM benchmark), gl AS (SELECT item_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS text FROM gw), gn AS (SELECT item_id, pos, {KEY} AS term FROM gl),
+g AS (SELECT term FROM gn WHERE length(term) >= 6 GROUP BY term ORDER BY min(item_id * 1000000 + pos) LIMIT 200), k AS (SELECT session_id, id, {KEY} AS key FROM seg),
+m AS (SELECT session_id, id, key, term, string_split(key, term) AS ps FROM k JOIN g ON contains(key, term)),
+p AS (SELECT session_id, id, key, flatten(list_transform(range(1, len(ps)), lambda i: range(list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(term), list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + i * length(term)))) AS at_chars FROM m)
+SELECT session_id, id, count(*)::INTEGER AS terms, len(list_distinct(flatten(list(at_chars)))) / greatest(1, length(key)) AS coverage FROM p GROUP BY session_id, id, key""")
 def prompt_echo(spark, d):
     e = seg_docs(spark, d).withColumn("e", T.prompt_echo(glossary_terms(spark, d))(T.normalized(F.col("text"))))
     return e.select("session_id", "id", "e.terms", "e.coverage").where("terms > 0")
