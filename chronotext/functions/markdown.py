@@ -44,3 +44,29 @@ def rendered(template: str, **values: Column) -> Column:
     for k, c in values.items():
         out = F.replace(out, F.lit("{{" + k + "}}"), c)
     return F.when(~F.rlike(out, F.lit(r"\{\{[A-Z_]+\}\}")), out)
+
+
+def glossary_block(terms: Column) -> Column:
+    """The terms of a prompt in one line."""
+    return F.when(F.size(terms) > 0, F.array_join(terms, "、")).otherwise("（无）")
+
+
+def indented_json(rows: Column, fields: list[str]) -> Column:
+    """A list of flat structs as JSON, a field a line, indented by two."""
+    value = lambda x, f: F.coalesce(F.substring(F.to_json(F.array(x[f])), F.lit(2), F.length(F.to_json(F.array(x[f]))) - 2), F.lit("null"))
+    one = lambda x: F.concat(F.lit("  {\n"), F.concat_ws(",\n", *(F.concat(F.lit(f'    "{f}": '), value(x, f)) for f in fields)), F.lit("\n  }"))
+    return F.when(F.size(rows) > 0, F.concat(F.lit("[\n"), F.array_join(F.transform(rows, one), ",\n"), F.lit("\n]"))).otherwise("[]")
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """The template with {{name}} replaced by the values, one name after the other; null where a placeholder is left."""
+    out = template
+    for k, c in values.items():
+        out = F.replace(out, F.lit("{{" + k + "}}"), c)
+    return F.when(~F.rlike(out, F.lit(r"\{\{[a-z_]+\}\}")), out)
+
+
+def clean_prompt(template: Column, mode: Column, course_name: Column, terms: Column, segments: Column, fields: list[str], boundary_context: Column) -> Column:
+    """The prompt for a chunk of segments."""
+    context = F.coalesce(F.nullif(boundary_context, F.lit("")), F.lit("无"))
+    return filled(template, mode=mode, course_name=course_name, glossary=glossary_block(terms), segments_json=indented_json(segments, fields), boundary_context=context)

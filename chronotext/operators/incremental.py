@@ -74,3 +74,18 @@ def rebuild_needed(now: DataFrame, manifest: DataFrame) -> DataFrame:
     a = now.select("session_id", "path", "sha256", F.lit(1).alias("a")).distinct()
     b = manifest.select("session_id", "path", "sha256", F.lit(1).alias("b")).distinct()
     return a.join(b, ["session_id", "path", "sha256"], "full").groupBy("session_id").agg((F.count_if(F.col("a").isNull() | F.col("b").isNull()) > 0).alias("rebuild"))
+
+
+TOKENS = ("input_tokens", "output_tokens", "total_tokens", "input_chars", "output_chars", "web_turns")
+
+
+def usage(records: DataFrame, cloud: str = "openai") -> DataFrame:
+    """Per session what its model calls took. records: session_id, stage, llm_called, cache_hit, provider, attempt_count, failed_attempts and the TOKENS columns.
+    Calls are chunks and boundaries for which a model was asked; sums are over those that no cache answered."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    calls = records.where((F.col("stage") == "chunk") | flag("llm_called")).withColumn("_real", ~flag("cache_hit"))
+    real = lambda c: F.sum(F.when(F.col("_real"), F.coalesce(c, F.lit(0))).otherwise(0)).cast("long")
+    sums = [real(F.col(c).cast("long")).alias(c) for c in TOKENS]
+    attempts = F.coalesce(F.nullif("attempt_count", F.lit(0)), F.lit(1))
+    out = calls.groupBy("session_id").agg(*sums, F.count_if("_real").alias("llm_calls"), F.count_if(F.col("_real") & (F.col("provider") == cloud)).alias("api_calls"), F.count_if(~F.col("_real")).alias("cache_hits"), real(attempts).alias("requests_total"), F.count_if("_real").alias("successful_requests"), real(F.col("failed_attempts")).alias("failed_requests"))
+    return out.withColumn("token_usage_available", F.col("total_tokens") > 0)

@@ -120,3 +120,29 @@ def summary(regions: DataFrame) -> DataFrame:
         F.sum(F.col("seg_end") - F.col("seg_start")).alias("seconds_before"),
         F.sum(F.when(F.col("accepted"), 0.0).otherwise(F.col("seg_end") - F.col("seg_start"))).alias("seconds_after"),
     )
+
+
+def suspicious(seg: DataFrame, terms: list[str] = (), cfg: RepairConfig = RepairConfig()) -> DataFrame:
+    """session_id, id, seg_start, seg_end, ratio of segments, and whether they are suspicious: by their own measures, or in a long run of equal ones."""
+    m = measures(seg, seconds=F.col("seg_end") - F.col("seg_start"), terms=terms, cfg=cfg)
+    r = runs(m, ["session_id"], "id", "key")
+    long = (F.col("key") != "") & (F.col("run_length") >= cfg.longest_run_threshold)
+    return r.select("session_id", "id", "seg_start", "seg_end", "ratio", (F.col("suspicious") | long).alias("suspicious"))
+
+
+def repair_summary(before: DataFrame, after: DataFrame, history: DataFrame, terms: list[str] = (), cfg: RepairConfig = RepairConfig()) -> DataFrame:
+    """Per session of history what a repair did. before, after: session_id, id, seg_start, seg_end, text; history: session_id, region_id, ids (of segments
+    before), accepted, asr_seconds.
+
+    regions_detected (segments), windows, accepted, rejected, suspicious_before and suspicious_after (seconds of the segments named in history, and of those that are
+    suspicious still), compression_before and compression_after (the highest of a segment), segments_before, segments_after, asr_seconds."""
+    per = history.groupBy("session_id").agg(F.count("*").alias("windows"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("accepted"), F.round(F.sum(F.coalesce("asr_seconds", F.lit(0.0))), 2).alias("asr_seconds"))
+    per = per.withColumn("rejected", F.col("windows") - F.col("accepted"))
+    named = history.select("session_id", F.explode("ids").alias("id")).distinct()
+    seconds = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.greatest(F.lit(0.0), F.col("seg_end") - F.col("seg_start")))), F.lit(0.0)), 3)
+    n_named = named.groupBy("session_id").agg(F.count("*").alias("regions_detected"))
+    old = suspicious(before, terms, cfg).join(named.withColumn("_named", F.lit(True)), ["session_id", "id"], "left")
+    old = old.groupBy("session_id").agg(seconds(F.coalesce("_named", F.lit(False))).alias("suspicious_before"), F.round(F.max("ratio"), 4).alias("compression_before"), F.count("*").alias("segments_before"))
+    new = suspicious(after, terms, cfg).groupBy("session_id").agg(seconds(F.col("suspicious")).alias("suspicious_after"), F.round(F.max("ratio"), 4).alias("compression_after"), F.count("*").alias("segments_after"))
+    out = per.join(n_named, "session_id", "left").join(old, "session_id", "left").join(new, "session_id", "left")
+    return out.fillna(0, ["regions_detected", "segments_before", "segments_after"]).fillna(0.0, ["suspicious_before", "suspicious_after", "compression_before", "compression_after"])

@@ -155,6 +155,19 @@ def timeline_violations(df: DataFrame, on: list[str], duration: str) -> DataFram
     return seen.select(*on, F.col("id").alias("item_id"), rule.alias("rule"))
 
 
+def cleaned_violations(df: DataFrame, on: list[str], order: str = "place") -> DataFrame:
+    """on, item_id, rule of cleaned segments that the later layers don't take: an id that stood before (repeated), a source other than the id
+    itself (provenance), a start before the end of the segment in front or an end before the start (timeline). df: on, place, id,
+    source_segment_id, seg_start, seg_end."""
+    before = F.lag("seg_end").over(_by(on, order))
+    seen = df.withColumn("_done", F.coalesce(before, F.lit(-1.0)))
+    first = df.groupBy(*on, "id").agg(F.min(order).alias("_first"))
+    seen = seen.join(first, [*on, "id"])
+    named = (("provenance", ~F.col("source_segment_id").eqNullSafe(F.col("id"))), ("repeated", F.col(order) > F.col("_first")), ("timeline", (F.col("seg_start") < F.col("_done") - 1e-3) | (F.col("seg_end") < F.col("seg_start"))))
+    rule = F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named)), lambda x: x.isNotNull()))
+    return seen.select(*on, F.col("id").alias("item_id"), rule.alias("rule"))
+
+
 def chunk_plan(sessions: DataFrame, minutes: int = 8, overlap: float = 30.0, duration: str = "duration") -> DataFrame:
     """chunk, core and window spans of every session with a duration; windows reach over their neighbours."""
     step = float(minutes * 60)

@@ -121,7 +121,7 @@ def _at(seg: DataFrame, remainder: int, place: int) -> Column:
     return (F.col("n") >= 10) & (F.col("session_id") % EACH == remainder) & (F.col("id") == place)
 
 
-def _counted(seg: DataFrame) -> DataFrame:
+def with_counts(seg: DataFrame) -> DataFrame:
     return seg.join(seg.groupBy("session_id").agg(F.count("*").alias("n")), "session_id")
 
 
@@ -166,7 +166,7 @@ def outline_replies(seg: DataFrame) -> DataFrame:
 
 @query(_expected(OUTLINE_FAULTS))
 def outline_response_rules(spark, d):
-    seg = _counted(seg_docs(spark, d))
+    seg = with_counts(seg_docs(spark, d))
     seg = seg.withColumn("text", F.when(_at(seg, 22, 0), F.concat(F.lit("下面我们进行证明"), "text")).otherwise(F.col("text")))
     return R.outline_response_violations(_planted(outline_replies(seg), OUTLINE_FAULTS), seg.drop("n"))
 
@@ -187,7 +187,7 @@ def knowledge_replies(seg: DataFrame) -> DataFrame:
 
 @query(_expected(KNOWLEDGE_FAULTS))
 def knowledge_response_rules(spark, d):
-    seg = _counted(seg_docs(spark, d))
+    seg = with_counts(seg_docs(spark, d))
     text = F.when(_at(seg, 6, 0), "plain words").when(_at(seg, 16, 1), "").otherwise(F.concat("text", F.lit(" =1")))
     seg = seg.withColumn("text", text).withColumn("uncertain", F.col("id") % 5 == 1).withColumn("visual", (F.col("id") % 5 == 2) | _at(seg, 13, 3))
     topics = seg.groupBy("session_id", F.floor(F.col("id") / 5).alias("place")).agg(F.sort_array(F.collect_list(F.col("id").cast("long"))).alias("sources")).withColumn("topic_id", F.concat(F.lit("t"), F.col("place").cast("string")))
@@ -195,12 +195,14 @@ def knowledge_response_rules(spark, d):
     return R.knowledge_response_violations(_planted(knowledge_replies(seg), KNOWLEDGE_FAULTS), seg.drop("n"), topics, listed)
 
 
-def draft_replies(seg: DataFrame) -> DataFrame:
+def draft_replies(seg: DataFrame, items: dict[str, tuple[str, int]] = {"concepts": ("c", 0), "uncertain_items": ("u", 1)}) -> DataFrame:  # noqa: B006  read only
+    """items: of each category the letter of its ids, and the place in a topic that it needs."""
     every = lambda t: F.transform(t["r"], lambda x: x["id"])
     one = lambda letter, t: F.array(F.concat(F.lit(letter), t["k"].cast("string")))
 
     def section(t: Column) -> Column:
-        lists = {f: _NONE for f in R.ITEM_LISTS.values()} | {"concept_ids": one("c", t), "uncertain_item_ids": F.when(F.size(t["r"]) > 1, one("u", t)).otherwise(_NONE)}
+        own = {R.ITEM_LISTS[c]: F.when(F.size(t["r"]) > place, one(letter, t)).otherwise(_NONE) for c, (letter, place) in items.items()}
+        lists = {f: _NONE for f in R.ITEM_LISTS.values()} | own
         return F.struct(_key("s", t), _key("t", t, "topic_id"), _text("H", "heading"), _text("S", "summary"), every(t).alias("source_segment_ids"), *(v.alias(f) for f, v in lists.items()))
 
     closing = F.array(F.struct(_text("C", "content"), F.array(F.col("ts")[0]["r"][0]["id"]).alias("source_segment_ids")))
@@ -209,7 +211,7 @@ def draft_replies(seg: DataFrame) -> DataFrame:
 
 @query(_expected(DRAFT_FAULTS))
 def draft_response_rules(spark, d):
-    seg = _counted(seg_docs(spark, d))
+    seg = with_counts(seg_docs(spark, d))
     topics = seg.groupBy("session_id", F.floor(F.col("id") / 5).alias("place")).agg(F.sort_array(F.collect_list(F.col("id").cast("long"))).alias("sources")).withColumn("topic_id", F.concat(F.lit("t"), F.col("place").cast("string")))
     item = lambda letter, category, place: topics.where(F.size("sources") >= place).select("session_id", F.lit(category).alias("category"), F.concat(F.lit(letter), F.col("place").cast("string")).alias("item_id"), "topic_id", F.slice("sources", place, 1).alias("sources"))
     items = item("c", "concepts", 1).unionByName(item("u", "uncertain_items", 2))
@@ -225,5 +227,5 @@ def clean_replies(seg: DataFrame) -> DataFrame:
 
 @query(_expected(CLEAN_FAULTS))
 def clean_response_rules(spark, d):
-    seg = _counted(seg_docs(spark, d))
+    seg = with_counts(seg_docs(spark, d))
     return R.clean_response_violations(_planted(clean_replies(seg), CLEAN_FAULTS), seg.drop("n"))
