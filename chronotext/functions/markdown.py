@@ -20,6 +20,14 @@ def without_fence(text: Column) -> Column:
     return F.when(whole & even, inner).otherwise(text)
 
 
+def without_json_fence(text: Column) -> Column:
+    """The trimmed text, without the one fence of three backticks (or with ``json`` behind them) that may stand around it; other fences stay."""
+    own = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    inner = F.regexp_extract(own, r"(?is)\A```(?:json)?[ \t]*\r?\n(.*)\r?\n[ \t]*```[^\r\n]*\z", 1)
+    fenced = F.rlike(own, F.lit(r"(?is)\A```(?:json)?[ \t]*\r?\n.*\r?\n[ \t]*```[^\r\n]*\z"))
+    return F.when(fenced, F.regexp_replace(inner, r"(?U)\A\s+|\s+\z", "")).otherwise(own)
+
+
 def dollar_math(text: Column) -> Column:
     r"""\( \) and \[ \] as dollars, line by line and not inside code fences (a fold, as a fence is opened and closed)."""
     start = F.struct(F.lit(False).alias("code"), F.expr("cast(array() as array<string>)").alias("out"))

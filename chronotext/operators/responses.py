@@ -381,3 +381,32 @@ def clean_response_violations(responses: DataFrame, segments: DataFrame, cfg: Cl
     lengths = lengths.where("n = all")  # a response of another shape is told for that
     sums = _broken(lengths, F.lit("response"), ("retention", F.col("kept") < cfg.min_retention_ratio), ("expansion", F.col("kept") > cfg.max_expansion_ratio), category=F.lit("segments"))
     return _all(_response_rules(docs, ("segments",)), per, sums)
+
+
+def unresolved_violations(queues: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """The queue of visuals still to be resolved against the knowledge it was made from: queues, knowledge: session_id, response. The same items in the same
+    order, each with its fields as they were, a status and its labels; rules of the response: keys, session, count, order."""
+    docs, v = parsed(queues), F.col("entry")
+    d = F.col("doc")
+    due = entries(parsed(knowledge), {"visual_references": ()}).select("session_id", F.col("place").alias("due"), string(v, "id").alias("item_id"), F.to_json(v).alias("was"))
+    got = entries(docs, {"items": ()}).withColumn("item_id", string(v, "id"))
+    own = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: ~k.isin("status", "source_visual_labels"))
+    got = got.withColumn("now", F.to_json(own)).withColumn("name", F.coalesce("item_id", F.concat(F.lit("#"), F.col("place").cast("string"))))
+    met = got.join(due, ["session_id", "item_id"], "left")
+    each = _broken(
+        met, F.col("name"),
+        ("id_unknown", F.col("due").isNull()), ("status", ~F.coalesce(string(v, "status") == "unresolved", F.lit(False))),
+        ("labels", strings(v, "source_visual_labels").isNull()), ("changed", F.col("due").isNotNull() & ~F.col("now").eqNullSafe(F.col("was"))),
+    )
+    again = got.where("item_id IS NOT NULL").groupBy("session_id", "category", "name").agg(F.count("*").alias("n"))
+    ids = lambda df, place: df.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place, "item_id"))), lambda x: x["item_id"]).alias("ids"))
+    both = docs.join(ids(got, "place"), "session_id", "left").join(ids(due, "due").withColumnRenamed("ids", "due_ids"), "session_id", "left")
+    none = F.array().cast("array<string>")
+    whole = _kind(d, "items") == "NONE"
+    count = F.when(_kind(d, "item_count") == "BIGINT", F.try_variant_get(d, "$.item_count", "bigint"))
+    top = _broken(
+        both, F.lit("response"),
+        ("keys", whole), ("session", ~whole & ~F.coalesce((string(d, "session_id") == F.col("session_id").cast("string")) & (string(d, "layer") == "UNRESOLVED_VISUAL"), F.lit(False))),
+        ("count", ~whole & ~F.coalesce(count == F.size(F.try_variant_get(d, "$.items", "array<variant>")), F.lit(False))), ("order", ~whole & (F.coalesce("ids", none) != F.coalesce("due_ids", none))), category=F.lit("response"),
+    )
+    return _all(top, each, _broken(again, F.col("name"), ("id_repeated", F.col("n") > 1)))

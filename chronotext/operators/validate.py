@@ -72,11 +72,25 @@ def boundary_decisions(items: DataFrame) -> DataFrame:
 
 
 def merged_item(left: str, right: str) -> Column:
-    """struct of equal items of two chunks: the longer text (left on a tie), sorted unions, distinct corrections in order."""
+    """struct of equal items of two chunks: the longer text (left on a tie), sorted unions without blanks, distinct corrections in order. Null lists are empty."""
     a, b = F.col(left), F.col(right)
-    union = lambda f: F.array_sort(F.filter(F.array_union(a[f], b[f]), lambda x: F.trim(x) != "")).alias(f)
+    own = lambda x, f: F.coalesce(x[f], F.array().cast("array<string>"))
+    union = lambda f: F.array_sort(F.filter(F.array_union(own(a, f), own(b, f)), lambda x: F.trim(x) != "")).alias(f)
     text = F.when(F.length(F.trim(a["text"])) >= F.length(F.trim(b["text"])), F.trim(a["text"])).otherwise(F.trim(b["text"]))
-    return F.struct(text.alias("text"), union("uncertain"), union("visual_references"), F.array_distinct(F.concat(a["corrections"], b["corrections"])).alias("corrections"))
+    fields = ("original", "corrected", "decision", "reason")
+    whole = lambda x: F.transform(F.coalesce(x["corrections"], F.expr("cast(array() as array<struct<original:string,corrected:string,decision:string,reason:string>>)")), lambda c: F.struct(*(F.coalesce(c[f], F.lit("")).alias(f) for f in fields)))
+    return F.struct(text.alias("text"), union("uncertain"), union("visual_references"), F.array_distinct(F.concat(whole(a), whole(b))).alias("corrections"))
+
+
+def boundary_merged(items: DataFrame) -> DataFrame:
+    """session_id, chunk, id and the merged item of every segment that neighbouring chunks share, where no shared segment of the two differs in content.
+    items: session_id, chunk, id, text, uncertain, visual_references, corrections."""
+    pairs = boundary_decisions(items).where("decision = 'deterministic'").select("session_id", "chunk")
+    order = items.select("session_id", "chunk").distinct().withColumn("next", F.lead("chunk").over(Window.partitionBy("session_id").orderBy("chunk")))
+    row = F.struct("text", "uncertain", "visual_references", "corrections")
+    left = items.join(order.join(pairs, ["session_id", "chunk"]), ["session_id", "chunk"]).select("session_id", "chunk", "next", "id", row.alias("l"))
+    right = items.select("session_id", F.col("chunk").alias("next"), "id", row.alias("r"))
+    return left.join(right, ["session_id", "next", "id"]).select("session_id", "chunk", "id", merged_item("l", "r").alias("m")).select("session_id", "chunk", "id", "m.*")
 
 
 def assemble(source: DataFrame, results: DataFrame) -> DataFrame:
@@ -184,7 +198,7 @@ def referenced_labels(refs: DataFrame, seg_labels: DataFrame) -> DataFrame:
 # ---- drafts ----
 
 
-def draft_violations(bridge: DataFrame, items: DataFrame, most_closing: int = 5) -> DataFrame:
+def draft_violations(bridge: DataFrame, items: DataFrame) -> DataFrame:
     """Each item exactly once, in a section of its own topic. bridge: session_id, section, topic, item."""
     seen = bridge.groupBy("session_id", "item").agg(F.count("*").alias("n"), F.min("topic").alias("lo"), F.max("topic").alias("hi"))
     both = items.select("session_id", "item", F.col("topic").alias("own")).join(seen, ["session_id", "item"], "full")

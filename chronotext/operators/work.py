@@ -20,6 +20,15 @@ def active_sessions(tasks: DataFrame) -> DataFrame:
     return tasks.where("has_task AND NOT has_artefact").groupBy("session_id").agg(F.min_by("stage", order).alias("stage"))
 
 
+def waiting_sessions(tasks: DataFrame, auto_advance: bool = True) -> DataFrame:
+    """session_id of sessions that the loop still has to look at: some stage has a task and no artefact, or, where stages go on by themselves, the first stage
+    has a task and the last no artefact. tasks: session_id, stage, has_task, has_artefact."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    at = lambda k, c: F.max(F.when(F.col("stage") == STAGES[k], flag(c)).otherwise(False))
+    per = tasks.groupBy("session_id").agg(F.max(F.col("stage").isin(*STAGES) & flag("has_task") & ~flag("has_artefact")).alias("open"), at(0, "has_task").alias("begun"), at(-1, "has_artefact").alias("done"))
+    return per.where(F.col("open") | (F.lit(auto_advance) & F.col("begun") & ~F.col("done"))).select("session_id")
+
+
 def next_stage(done: DataFrame) -> DataFrame:
     """session_id and the stage that comes after all that are finished in a row; null when the chain is through."""
     held = done.groupBy("session_id").agg(F.collect_set("stage").alias("s"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import file_system
+
 # Suffixes of recordings.
 AUDIO = ("mp3", "m4a", "wav", "flac", "aac", "ogg", "opus")
 SEGMENT = "struct<id:int,start:double,end:double,text:string,no_speech_prob:double,avg_logprob:double>"
@@ -84,10 +86,16 @@ def segments(transcripts: DataFrame, session: str = "path") -> DataFrame:
     return s.select("session_id", F.coalesce("s.id", "place").alias("id"), F.trim("s.text").alias("text"), F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"), "s.no_speech_prob", "s.avg_logprob")
 
 
+def missing_layers(sessions: DataFrame, layers: DataFrame) -> DataFrame:
+    """Violations: sessions that have neither a repaired nor a raw transcript."""
+    held = layers.where(F.col("layer").isin("repaired", "raw")).select("session_id")
+    return sessions.select("session_id").distinct().join(held, "session_id", "left_anti").select("session_id", F.lit("no_transcript").alias("rule"), F.lit("session").alias("item_id"))
+
+
 def best_layer(layers: DataFrame) -> DataFrame:
-    """Of each session's layers the repaired one, else the raw one."""
+    """Of each session's layers the repaired one, else the raw one; others don't count."""
     rank = F.when(F.col("layer") == "repaired", 0).otherwise(1)
-    return layers.groupBy("session_id").agg(F.min_by(F.struct("layer", "path"), rank).alias("b")).select("session_id", "b.*")
+    return layers.where(F.col("layer").isin("repaired", "raw")).groupBy("session_id").agg(F.min_by(F.struct("layer", "path"), rank).alias("b")).select("session_id", "b.*")
 
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -144,10 +152,25 @@ def package_manifests(files: DataFrame, limit: int = 10 << 20) -> DataFrame:
     return files.select("path", read("content").alias("r")).select("path", "r.*")
 
 
-def log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """Last n lines that aren't blank, in order."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where("trim(value) <> ''")
-    return lines.orderBy(F.desc("line_no")).limit(n).orderBy("line_no")
+#: Bytes of a log that its tail is looked for in.
+TAIL_BYTES = 64 << 10
+
+
+def log_tail(spark: SparkSession, path: str, n: int, most: int = TAIL_BYTES) -> DataFrame:
+    """line_no, value of the last n lines that aren't blank, in order, from the last `most` bytes alone: a log grows without end. The first line of a longer log is
+    left out, as it is mostly cut in two. A log that isn't there has none; bytes that are no UTF-8 are replaced."""
+    fs, at = file_system(spark, path)
+    lines: list[str] = []
+    if fs.exists(at):
+        size = fs.getFileStatus(at).getLen()
+        stream = fs.open(at)
+        try:
+            stream.seek(max(0, size - most))
+            raw = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        lines = [x.rstrip() for x in raw.decode("utf-8", "replace").splitlines() if x.strip()][int(size > most) :][-n:] if n > 0 else []
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, value string")
 
 
 def segment_schema() -> T.StructType:
