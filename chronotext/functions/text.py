@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chronotext.config import RepairConfig
 
@@ -41,21 +41,68 @@ def content_key(text: Column) -> Column:
     return F.replace(F.lower(F.regexp_replace(text, r"(?U)[^\w]+", "")), F.lit("ß"), F.lit("ss"))
 
 
-def characters(key: Column) -> Column:
-    return F.filter(F.split(key, ""), lambda c: c != "")
+def _ints(*names: str) -> StructType:
+    return StructType([StructField(n, IntegerType()) for n in names])
 
 
-def distinct_characters(key: Column) -> Column:
-    return F.size(F.array_distinct(characters(key)))
+#: Characters of texts that are measured at once (one text at least); it bounds a worker's memory.
+BLOCK_CHARACTERS = 1 << 21
 
 
-def ngram_counts(key: Column, n: int = 3) -> Column:
-    """struct(total, repeated): repeated is the number of n-grams beyond the first of their kind."""
+def _blocks(key: pd.Series):
+    """(first row, characters' codes of its texts one after the other, their sizes) of runs of rows."""
+    texts = key.fillna("")
+    sizes = texts.str.len().to_numpy(np.int64)
+    total = np.cumsum(sizes)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_CHARACTERS, "right")))
+        yield i, np.frombuffer("".join(texts.iloc[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32), sizes[i:j]
+        i = j
+
+
+def character_counts(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Different characters of each text."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(np.unique((text << 21) | codes) >> 21, minlength=len(sizes))
+
+
+def gram_counts(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of three characters, how many of them are not the first of their kind) of each text. Three codes fill 63 bits, so no two runs are taken
+    for one."""
+    grams = np.maximum(sizes - 2, 0)
+    if not grams.any():
+        return grams, grams
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    inside = text[2:] == text[:-2]
+    c = codes.astype(np.int64)
+    gram, text = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside], text[2:][inside]
+    order = np.lexsort((gram, text))
+    gram, text = gram[order], text[order]
+    again = (gram[1:] == gram[:-1]) & (text[1:] == text[:-1])
+    return grams, np.bincount(text[1:][again], minlength=len(sizes))
+
+
+@F.pandas_udf(IntegerType())
+def distinct_characters(key: pd.Series) -> pd.Series:
+    return pd.Series(np.concatenate([character_counts(c, n) for _, c, n in _blocks(key)] or [np.zeros(0)]), dtype="int32")
+
 
-    def grams(c: Column) -> Column:
-        return F.transform(F.slice(c, 1, F.greatest(F.size(c) - (n - 1), F.lit(0))), lambda x, i: F.concat(x, *(F.get(c, i + k) for k in range(1, n))))
+@F.pandas_udf(_ints("total", "repeated"))
+def ngram_counts(key: pd.Series) -> pd.DataFrame:
+    """repeated is the number of trigrams beyond the first of their kind."""
+    found = [np.stack(gram_counts(c, n), 1) for _, c, n in _blocks(key)]
+    return pd.DataFrame(np.concatenate(found or [np.zeros((0, 2))]), columns=["total", "repeated"], dtype="int32")
 
-    return let(characters(key), lambda c: let(grams(c), lambda g: F.struct(F.size(g).alias("total"), (F.size(g) - F.size(F.array_distinct(g))).alias("repeated"))))
+
+@F.pandas_udf(_ints("distinct", "grams", "repeated", "run", "deflated"))
+def profile(key: pd.Series) -> pd.DataFrame:
+    """All measures of a normal key that take its characters one by one, in one pass: different characters, trigrams and repeated ones, the longest run of a
+    unit, and the bytes that zlib's default compression leaves, which Spark has no function for (0 for an empty text)."""
+    found = [np.stack([character_counts(c, n), *gram_counts(c, n), tile_runs(c, n)], 1) for _, c, n in _blocks(key)]
+    out = pd.DataFrame(np.concatenate(found or [np.zeros((0, 4))]), columns=["distinct", "grams", "repeated", "run"], dtype="int32")
+    out["deflated"] = deflated(key)
+    return out
 
 
 def tokens(text: Column) -> Column:
@@ -87,20 +134,18 @@ def tile_runs(codes: np.ndarray, sizes: np.ndarray, most: int = 12) -> np.ndarra
 
 @F.pandas_udf(IntegerType())
 def _longest_tiles(key: pd.Series) -> pd.Series:
-    texts = key.fillna("")
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return pd.Series(tile_runs(codes, texts.str.len().to_numpy(np.int64)), dtype="int32")
+    return pd.Series(np.concatenate([tile_runs(c, n) for _, c, n in _blocks(key)] or [np.zeros(0)]), dtype="int32")
 
 
-def longest_run(text: Column) -> Column:
-    """Longest run of equal tokens, or of a unit of 1 to 12 characters repeated without a break."""
+def longest_run(text: Column, tiles: Column | None = None) -> Column:
+    """Longest run of equal tokens, or of a unit of 1 to 12 characters repeated without a break (tiles, if that is known)."""
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, t: Column) -> Column:
         run = F.when(a["last"].eqNullSafe(t), a["run"] + 1).otherwise(1)
         return F.struct(t.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
 
-    return F.greatest(F.aggregate(tokens(text), start, step, lambda a: a["best"]), _longest_tiles(normalized(text)))
+    return F.greatest(F.aggregate(tokens(text), start, step, lambda a: a["best"]), _longest_tiles(normalized(text)) if tiles is None else tiles)
 
 
 def visual_labels(text: Column) -> Column:
@@ -111,10 +156,14 @@ def derivation_cue(text: Column) -> Column:
     return F.rlike(text, F.lit(DERIVATION_CUE))
 
 
+def deflated(key: pd.Series) -> np.ndarray:
+    return np.fromiter((len(zlib.compress(k.encode())) if k else 0 for k in key), np.int32, len(key))
+
+
 @F.pandas_udf(IntegerType())
 def deflated_bytes(key: pd.Series) -> pd.Series:
     """Bytes after zlib's default compression, which Spark has no function for; 0 for an empty text."""
-    return key.map(lambda k: len(zlib.compress(k.encode())) if k else 0).astype("int32")
+    return pd.Series(deflated(key), dtype="int32")
 
 
 #: Automata of this worker, by the terms' digest; one is enough for a query.

@@ -12,29 +12,30 @@ from .sequence import interval_join, islands, runs
 
 
 def measures(df: DataFrame, text: str = "text", seconds: Column | None = None, terms: list[str] = (), cfg: RepairConfig = RepairConfig()) -> DataFrame:
-    """All text measures, score, reasons and suspicious of each row. zlib and echo are the only Arrow steps."""
+    """All text measures, score, reasons and suspicious of each row. What takes a text's characters one by one, and the echo, are one Arrow pass."""
     out = df.withColumn("key", T.normalized(F.col(text))).withColumn("n_chars", F.length("key")).withColumn("n_bytes", F.octet_length("key"))
-    out = out.withColumn("deflated", T.deflated_bytes("key")).withColumn("ratio", F.col("n_bytes") / F.greatest(F.lit(1), "deflated"))
-    out = out.withColumn("unique_ratio", T.distinct_characters(F.col("key")) / F.greatest(F.lit(1), "n_chars"))
-    out = out.withColumn("grams", T.ngram_counts(F.col("key"))).withColumn("repeat_ratio", F.col("grams.repeated") / F.greatest(F.lit(1), "grams.total"))
-    out = out.withColumn("run", T.longest_run(F.col(text)))
-    out = out.withColumn("echo", T.prompt_echo(list(terms))("key")) if terms else out.withColumn("echo", F.struct(F.lit(0).alias("terms"), F.lit(0.0).alias("coverage")))
+    echo = T.prompt_echo(list(terms))("key") if terms else F.struct(F.lit(0).alias("terms"), F.lit(0.0).alias("coverage"))
+    out = out.withColumns({"p": T.profile("key"), "echo": echo})
+    out = out.withColumn("ratio", F.col("n_bytes") / F.greatest(F.lit(1), "p.deflated"))
+    out = out.withColumn("unique_ratio", F.col("p.distinct") / F.greatest(F.lit(1), "n_chars"))
+    out = out.withColumn("repeat_ratio", F.col("p.repeated") / F.greatest(F.lit(1), "p.grams"))
+    out = out.withColumn("run", T.longest_run(F.col(text), F.col("p.run")))
     seconds = F.lit(None).cast("double") if seconds is None else seconds
     a = T.anomaly(F.col("n_chars"), F.col("n_bytes"), F.col("ratio"), F.col("unique_ratio"), F.col("repeat_ratio"), F.col("run"), seconds, F.col("echo.terms"), F.col("echo.coverage"), cfg)
-    return out.withColumn("a", a).select("*", F.col("a.score").alias("score"), F.col("a.reasons").alias("reasons"), F.col("a.suspicious").alias("suspicious")).drop("a", "grams", "echo", "deflated")
+    return out.withColumn("a", a).select("*", F.col("a.score").alias("score"), F.col("a.reasons").alias("reasons"), F.col("a.suspicious").alias("suspicious")).drop("a", "p", "echo")
 
 
 def native_reasons(seg: DataFrame, cfg: RepairConfig = RepairConfig()) -> DataFrame:
     """The reasons that need no compression: diversity, n-grams and density."""
     key = T.normalized(F.col("text"))
-    out = seg.withColumn("key", key).withColumn("n", F.length("key")).withColumn("grams", T.ngram_counts(F.col("key")))
+    out = seg.withColumn("key", key).withColumn("n", F.length("key")).withColumns({"d": T.distinct_characters("key"), "g": T.ngram_counts("key")})
     long, seconds = F.octet_length("key") >= cfg.min_text_bytes, F.col("seg_end") - F.col("seg_start")
     named = (
-        ("low_character_diversity", long & (T.distinct_characters(F.col("key")) / F.greatest(F.lit(1), "n") <= cfg.unique_char_ratio_threshold)),
+        ("low_character_diversity", long & (F.col("d") / F.greatest(F.lit(1), "n") <= cfg.unique_char_ratio_threshold)),
         ("low_text_density", (seconds >= cfg.sparse_segment_min_seconds) & (F.col("n") / seconds <= cfg.sparse_segment_max_chars_per_second)),
-        ("repeated_ngrams", long & (F.col("grams.repeated") / F.greatest(F.lit(1), "grams.total") >= cfg.repeated_ngram_ratio_threshold)),
+        ("repeated_ngrams", long & (F.col("g.repeated") / F.greatest(F.lit(1), "g.total") >= cfg.repeated_ngram_ratio_threshold)),
     )
-    return out.withColumn("reasons", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named)), lambda x: x.isNotNull())).drop("grams", "n")
+    return out.withColumn("reasons", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in named)), lambda x: x.isNotNull())).drop("d", "g", "n")
 
 
 def candidates(seg: DataFrame, duration: DataFrame | None = None, cfg: RepairConfig = RepairConfig()) -> DataFrame:
