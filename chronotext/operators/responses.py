@@ -1,7 +1,8 @@
 """Rules for the JSON that language models return: cleaned segments, outlines, knowledge, drafts.
 
-A response is one JSON text a session. It is parsed once as a VARIANT; all rules are column expressions and joins on (session, item), so a response
-is never handed to Python. Every rule that an item breaks is a row (session_id, category, rule, item_id); an item whose fields are not those of its category is
+A response is one JSON text a session. It is parsed as a VARIANT; all rules are column expressions and joins on (session, item), so a response
+is never handed to Python. Responses, their items with typed values, and what the rules need of the segments (a few characters, not their texts) are each
+written once to the shared folder, as many rules read them. Every rule that an item breaks is a row (session_id, category, rule, item_id); an item whose fields are not those of its category is
 told for that only, and values of a wrong kind are told once and break no other rule.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chronotext.config import CleanConfig
 from chronotext.functions.text import DERIVATION_CUE, normalized
+from chronotext.sources.shared import materialized
 
 from .sequence import runs
 
@@ -130,21 +132,33 @@ def entries(docs: DataFrame, categories: dict[str, tuple[str, ...]]) -> DataFram
     return docs.select("session_id", F.explode(lists).alias("e")).select("session_id", "e.*")
 
 
+def once(responses: DataFrame) -> DataFrame:
+    return materialized(responses.select("session_id", "response"), "responses")
+
+
 def placed(segments: DataFrame) -> DataFrame:
     """Segments with their position in the session, from 0."""
     return segments.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("id")) - 1)
 
 
+def slim(segments: DataFrame, *flags: str) -> DataFrame:
+    """What rules need of placed segments, written once: position, times, announces (a derivation), silent (no text), and hint, which holds a formula's sign where
+    the text does: the sign itself, else the text's ends, as no sign is longer than three characters but one may go on in the next segment."""
+    t = F.coalesce("text", F.lit(""))
+    hint = F.when(F.rlike(t, F.lit(FORMULA_CUE)), "=").when(F.length(t) <= 4, t).otherwise(F.concat(F.left(t, F.lit(2)), F.lit("\x00"), F.right(t, F.lit(2))))
+    return materialized(placed(segments).select("session_id", "id", "position", "seg_start", "seg_end", F.rlike(t, F.lit(DERIVATION_CUE)).alias("announces"), blank(t).alias("silent"), hint.alias("hint"), *flags), "segments")
+
+
 def sourced(items: DataFrame, segments: DataFrame, key: list[str]) -> DataFrame:
-    """Adds of each item's sources: unknown (how many are no segments), positions (in the item's order), own_start, own_end, evidence (their texts strung
-    together), silent (no segment has a text)."""
+    """Adds of each item's sources: unknown (how many are no segments), positions (in the item's order), own_start, own_end, evidence (their hints strung
+    together), silent (no segment has a text). segments: slim ones."""
     one = items.where(F.col("sources").isNotNull()).select(*key, F.posexplode("sources").alias("nth", "id"))
-    met = one.join(segments.select("session_id", "id", "position", "seg_start", "seg_end", "text"), ["session_id", "id"], "left")
-    rows = F.array_sort(F.collect_list(F.struct("nth", "position", "seg_start", "seg_end", "text")))
-    per = met.groupBy(*key).agg(F.count_if(F.col("position").isNull()).alias("unknown"), rows.alias("_r"))
+    met = one.join(segments.select("session_id", "id", "position", "seg_start", "seg_end", "hint", "silent"), ["session_id", "id"], "left")
+    rows = F.array_sort(F.collect_list(F.struct("nth", "position", "seg_start", "seg_end", "hint")))
+    per = met.groupBy(*key).agg(F.count_if(F.col("position").isNull()).alias("unknown"), rows.alias("_r"), (F.count_if(F.col("silent")) == F.count("*")).alias("silent"))
     of = lambda name: F.transform("_r", lambda x: x[name])
-    per = per.select(*key, "unknown", of("position").alias("positions"), F.col("_r")[0]["seg_start"].alias("own_start"), F.element_at("_r", -1)["seg_end"].alias("own_end"), F.array_join(of("text"), "").alias("evidence"))
-    return items.join(per.withColumn("silent", blank(F.col("evidence")) & (F.col("unknown") == 0)), key, "left")
+    per = per.select(*key, "unknown", "silent", of("position").alias("positions"), F.col("_r")[0]["seg_start"].alias("own_start"), F.element_at("_r", -1)["seg_end"].alias("own_end"), F.array_join(of("hint"), "").alias("evidence"))
+    return items.join(per, key, "left")
 
 
 def _rising(positions: Column) -> Column:
@@ -168,7 +182,7 @@ def _common(items: DataFrame, fields: dict[str, tuple[str, ...]], topics: DataFr
     typed = typed.join(allowed, ["session_id", "topic_id"], "left")
     named = F.coalesce(F.trim("item_id"), F.concat(F.lit("#"), F.col("place").cast("string")))
     named = F.when(named == "", F.concat(F.lit("#"), F.col("place").cast("string"))).otherwise(named)
-    typed = typed.withColumn("name", named)
+    typed = materialized(typed.withColumn("name", named), "items")
     ok, never = F.col("whole"), F.lit(False)
     bad_text = lambda t: F.col(f"t_{t}").isNull() | blank(F.col(f"t_{t}"))
     excused = lambda t: (F.col("category") == may_be_blank[0]) & F.col("silent") if may_be_blank and may_be_blank[1] == t else never
@@ -211,8 +225,9 @@ def outline_topics_of(responses: DataFrame) -> DataFrame:
 def outline_response_violations(responses: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Outlines: topics that cover the segments once and in order, with their times; items inside their topic, transitions between two of them, and
     every segment that announces a derivation in one. segments: session_id, id, seg_start, seg_end, text."""
-    docs, seg = parsed(responses), placed(segments)
-    topics = outline_topics_of(responses)
+    responses, seg = once(responses), slim(segments)
+    docs = parsed(responses)
+    topics = materialized(outline_topics_of(responses), "topics")
     typed, common = _common(entries(docs, OUTLINE), OUTLINE, topics, seg, ECHOES["outline"], OUTLINE_TEXT, contiguous=True)
     v, ok, never = F.col("entry"), F.col("whole"), F.lit(False)
     typed = typed.withColumn("start", number(v, "start")).withColumn("end", number(v, "end"))
@@ -239,7 +254,7 @@ def outline_response_violations(responses: DataFrame, segments: DataFrame, toler
     for side in "ab":
         moves = moves.join(known.select("session_id", F.col("k").alias(side), F.lit(True).alias(f"known_{side}")), ["session_id", side], "left")
     moves = _broken(moves, F.col("name"), ("transition_unknown", F.col("known_a").isNull() | F.col("known_b").isNull()), ("transition_same", F.col("a") == F.col("b")))
-    cued = seg.where(F.rlike("text", F.lit(DERIVATION_CUE))).join(whole, "session_id", "left_semi").select("session_id", "id")
+    cued = seg.where("announces").join(whole, "session_id", "left_semi").select("session_id", "id")
     told = typed.where("category = 'derivations'").select("session_id", F.explode("sources").alias("id")).distinct()
     missed = _broken(cued.join(told, ["session_id", "id"], "left_anti"), F.col("id"), ("derivation_missing", F.lit(True)), category=F.lit("derivations"))
     return _all(_response_rules(docs, tuple(OUTLINE)), common, own, timed, cover, none, moves, missed)
@@ -249,7 +264,8 @@ def knowledge_response_violations(responses: DataFrame, segments: DataFrame, top
     """Knowledge: items with evidence inside their topic, and nothing lost on the way: doubts, visuals and what the outline lists are all taken up.
     segments: session_id, id, seg_start, seg_end, text, uncertain, visual (flags); topics: session_id, topic_id, sources; outline_items: session_id,
     category, sources. Responses of the first version, without derivations, are accepted; their equations answer for the outline's derivations."""
-    docs, seg = parsed(responses), placed(segments)
+    responses, seg = once(responses), slim(segments, "uncertain", "visual")
+    docs = parsed(responses)
     typed, common = _common(entries(docs, KNOWLEDGE), KNOWLEDGE, topics, seg, ECHOES["knowledge"], KNOWLEDGE_TEXT, contiguous=False, may_be_blank=("uncertain_items", "content"))
     v, ok, c, never = F.col("entry"), F.col("whole"), F.col("category"), F.lit(False)
     status, steps = string(v, "status"), F.try_variant_get(v, "$.steps", "array<variant>")
@@ -304,12 +320,12 @@ def _odd_text(text: Column, limit: Column | int) -> Column:
 def draft_response_violations(responses: DataFrame, topics: DataFrame, items: DataFrame, most_closing: int = MOST_CLOSING) -> DataFrame:
     """Drafts: a section a topic in the outline's order, every knowledge item once, in its topic's section, whose sources cover the items'; plain texts
     within their limits. topics: session_id, topic_id, place, sources; items: session_id, category, item_id, topic_id, sources."""
-    docs = parsed(responses)
+    docs = parsed(once(responses))
     v, ok = F.col("entry"), F.col("whole")
     name = F.coalesce(F.col("section_id"), F.concat(F.lit("#"), F.col("place").cast("string")))
     order = topics.withColumn("due", F.row_number().over(Window.partitionBy("session_id").orderBy("place")) - 1).select("session_id", "topic_id", "due", F.col("sources").alias("allowed"))
     sections = entries(docs, {"sections": SECTION}).withColumn("whole", keys_are(v, SECTION)).withColumn("section_id", string(v, "id")).withColumn("topic_id", string(v, "topic_id")).withColumn("sources", whole_numbers(v, "source_segment_ids"))
-    sections = sections.join(order, ["session_id", "topic_id"], "left").withColumn("name", name)
+    sections = materialized(sections.join(order, ["session_id", "topic_id"], "left").withColumn("name", name), "sections")
     lists = {f: strings(v, f) for f in ITEM_LISTS.values()}
     wrong_list = reduce(lambda a, b: a | b, (F.coalesce((F.size(x) != F.size(F.array_distinct(x))) | F.array_contains(x, ""), x.isNull()) for x in lists.values()))
     per = _broken(
@@ -328,6 +344,7 @@ def draft_response_violations(responses: DataFrame, topics: DataFrame, items: Da
     named = lambda c: lambda i: F.struct(F.lit(c).alias("category"), i.alias("item_id"))
     listed = F.flatten(F.filter(F.array(*(F.transform(x, named(c)) for c, x in zip(ITEM_LISTS, lists.values(), strict=True))), lambda x: x.isNotNull()))
     used = sections.where("whole").select("session_id", F.col("name").alias("section"), F.col("topic_id").alias("used_in"), F.col("sources").alias("section_sources"), F.explode(listed).alias("i")).select("session_id", "section", "used_in", "section_sources", "i.*")
+    used = materialized(used, "used")
     known = items.join(docs.select("session_id"), "session_id", "left_semi")
     due_items = items.join(docs.where(keys_are(F.col("doc"), DRAFT)).select("session_id"), "session_id", "left_semi")  # others are told for their shape
     met = used.join(known, ["session_id", "category", "item_id"], "left")
@@ -353,31 +370,31 @@ def draft_response_violations(responses: DataFrame, topics: DataFrame, items: Da
 def clean_response_violations(responses: DataFrame, segments: DataFrame, cfg: CleanConfig = CleanConfig(), repeats: int = 6) -> DataFrame:
     """Cleaned segments: the same ids in the same order, whole fields, a reason for every blank text, and about as much text as before; runs of `repeats`
     or more equal segments count once. segments: session_id, id, text."""
-    docs, v, ok = parsed(responses), F.col("entry"), F.col("whole")
-    e = entries(docs, {"segments": CLEANED}).withColumn("whole", keys_are(v, CLEANED))
+    docs, v, ok = parsed(once(responses)), F.col("entry"), F.col("whole")
+    e = entries(docs, {"segments": CLEANED})
     own_id = F.when(_kind(v, "id") == "BIGINT", F.try_variant_get(v, "$.id", "bigint"))
-    e = e.withColumn("id", own_id).withColumn("new", string(v, "text")).withColumn("doubts", strings(v, "uncertain"))
     fixes = F.try_variant_get(v, "$.corrections", "array<variant>")
     wrong_fix = lambda x: ~(keys_are(x, CORRECTION) & reduce(lambda a, b: a & b, (_kind(x, k) == "STRING" for k in CORRECTION)))
-    due = runs(placed(segments).withColumn("key", normalized(F.col("text"))), ["session_id"], "id", "key")
-    copy = (F.col("run_length") >= repeats) & (F.col("key") != "") & (F.col("run_place") > 1)
-    due = due.select("session_id", F.col("position").alias("place"), F.col("id").alias("due_id"), F.trim(F.coalesce("text", F.lit(""))).alias("old"), copy.alias("copy"))
+    # texts are measured where they are; only their lengths are shuffled
+    e = e.select("session_id", "place", keys_are(v, CLEANED).alias("whole"), own_id.alias("id"), F.length(F.trim(string(v, "text"))).alias("new"), F.size(strings(v, "uncertain")).alias("doubts"), strings(v, "visual_references").isNull().alias("bad_visuals"), F.coalesce(F.exists(fixes, wrong_fix), F.lit(True)).alias("bad_fixes"))
+    due = runs(placed(segments).withColumn("key", F.sha2(normalized(F.col("text")), 256)), ["session_id"], "id", "key")
+    copy = (F.col("run_length") >= repeats) & (normalized(F.col("text")) != "") & (F.col("run_place") > 1)
+    due = due.select("session_id", F.col("position").alias("place"), F.col("id").alias("due_id"), F.length(F.trim(F.coalesce("text", F.lit("")))).alias("old"), copy.alias("copy"))
     due = due.join(docs.where(keys_are(F.col("doc"), ("segments",))).select("session_id"), "session_id", "left_semi")  # others are told for their shape
-    both = due.join(e, ["session_id", "place"], "full").withColumn("category", F.lit("segments"))
+    both = materialized(due.join(e, ["session_id", "place"], "full").withColumn("category", F.lit("segments")), "cleaned")
     name = F.coalesce("due_id", "id", "place")
-    text = F.trim("new")
     per = _broken(
         both, name,
         ("topology", ~F.coalesce(F.col("due_id") == F.col("id"), F.lit(False))),
         ("fields", ~ok),
         ("text_kind", ok & F.col("new").isNull()),
-        ("uncertain_list", ok & F.col("doubts").isNull()),
-        ("visual_list", ok & strings(v, "visual_references").isNull()),
-        ("corrections", ok & F.coalesce(F.exists(fixes, wrong_fix), F.lit(True))),
-        ("blank_unsaid", ok & (text == "") & (F.size("doubts") == 0)),
-        ("expanded", ok & ~F.col("copy") & (F.length(text) > 3 * F.length("old") + 30)),
+        ("uncertain_list", ok & (F.coalesce("doubts", F.lit(-1)) < 0)),
+        ("visual_list", ok & F.col("bad_visuals")),
+        ("corrections", ok & F.col("bad_fixes")),
+        ("blank_unsaid", ok & (F.col("new") == 0) & (F.col("doubts") == 0)),
+        ("expanded", ok & ~F.col("copy") & (F.col("new") > 3 * F.col("old") + 30)),
     )
-    lengths = both.where("due_id IS NOT NULL").groupBy("session_id").agg((F.sum(F.when(~F.col("copy"), F.length(text))) / F.greatest(F.lit(1), F.sum(F.when(~F.col("copy"), F.length("old"))))).alias("kept"), F.count_if(F.col("due_id").eqNullSafe(F.col("id")) & F.col("new").isNotNull()).alias("n"), F.count("*").alias("all"))
+    lengths = both.where("due_id IS NOT NULL").groupBy("session_id").agg((F.sum(F.when(~F.col("copy"), F.col("new"))) / F.greatest(F.lit(1), F.sum(F.when(~F.col("copy"), F.col("old"))))).alias("kept"), F.count_if(F.col("due_id").eqNullSafe(F.col("id")) & F.col("new").isNotNull()).alias("n"), F.count("*").alias("all"))
     lengths = lengths.where("n = all")  # a response of another shape is told for that
     sums = _broken(lengths, F.lit("response"), ("retention", F.col("kept") < cfg.min_retention_ratio), ("expansion", F.col("kept") > cfg.max_expansion_ratio), category=F.lit("segments"))
     return _all(_response_rules(docs, ("segments",)), per, sums)
@@ -386,7 +403,8 @@ def clean_response_violations(responses: DataFrame, segments: DataFrame, cfg: Cl
 def unresolved_violations(queues: DataFrame, knowledge: DataFrame) -> DataFrame:
     """The queue of visuals still to be resolved against the knowledge it was made from: queues, knowledge: session_id, response. The same items in the same
     order, each with its fields as they were, a status and its labels; rules of the response: keys, session, count, order."""
-    docs, v = parsed(queues), F.col("entry")
+    knowledge = once(knowledge)
+    docs, v = parsed(once(queues)), F.col("entry")
     d = F.col("doc")
     due = entries(parsed(knowledge), {"visual_references": ()}).select("session_id", F.col("place").alias("due"), string(v, "id").alias("item_id"), F.to_json(v).alias("was"))
     got = entries(docs, {"items": ()}).withColumn("item_id", string(v, "id"))

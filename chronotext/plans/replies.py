@@ -132,7 +132,12 @@ def _topics(seg: DataFrame) -> DataFrame:
     return per.groupBy("session_id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "r"))).alias("ts"))
 
 
-_NONE, _EMPTY = F.array().cast("array<string>"), F.array().cast("array<struct<id:string>>")
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _empty() -> Column:
+    return F.array().cast("array<struct<id:string>>")
 
 
 def _ids(t: Column, *places: int) -> Column:
@@ -141,7 +146,7 @@ def _ids(t: Column, *places: int) -> Column:
 
 
 def _span(t: Column, ids: Column) -> list[Column]:
-    return [t["r"][0]["seg_start"].alias("start"), F.element_at(F.slice(t["r"], 1, F.size(ids)), -1)["seg_end"].alias("end"), ids.alias("source_segment_ids"), _NONE.alias("uncertain")]
+    return [t["r"][0]["seg_start"].alias("start"), F.element_at(F.slice(t["r"], 1, F.size(ids)), -1)["seg_end"].alias("end"), ids.alias("source_segment_ids"), _none().alias("uncertain")]
 
 
 def _key(letter: str, t: Column, name: str = "id") -> Column:
@@ -159,7 +164,7 @@ def outline_replies(seg: DataFrame) -> DataFrame:
     definitions = F.transform(ts, lambda t: F.struct(_key("d", t), _key("t", t, "topic_id"), _text("Def", "label"), *_span(t, _ids(t, 0, 1))))
     before = lambda t: F.concat(F.lit("t"), (t["k"] - 1).cast("string")).alias("from_topic_id")
     moves = F.transform(F.slice("ts", 2, F.size("ts")), lambda t: F.struct(_key("m", t), before(t), _key("t", t, "to_topic_id"), _text("Next", "cue"), *_span(t, _ids(t, 0))))
-    rest = {c: _EMPTY for c in ("subtopics", "derivations", "examples", "teacher_emphasis", "exam_tips")}
+    rest = {c: _empty() for c in ("subtopics", "derivations", "examples", "teacher_emphasis", "exam_tips")}
     whole = F.to_json(F.struct(topics.alias("lecture_topics"), *(v.alias(c) for c, v in rest.items()), definitions.alias("definitions"), moves.alias("transitions")))
     return _topics(seg).select("session_id", "n", whole.alias("response"))
 
@@ -173,14 +178,14 @@ def outline_response_rules(spark, d):
 
 def knowledge_replies(seg: DataFrame) -> DataFrame:
     own = lambda letter, t: (_key(letter, t), _key("t", t, "topic_id"))
-    trace = lambda ids: (ids.alias("source_segment_ids"), _NONE.alias("uncertain"))
+    trace = lambda ids: (ids.alias("source_segment_ids"), _none().alias("uncertain"))
     at = lambda k: F.filter("ts", lambda t: F.size(t["r"]) > k)
     concepts = F.transform("ts", lambda t: F.struct(*own("c", t), _text("N", "name"), _text("E", "explanation"), F.lit(0.9).alias("importance"), *trace(_ids(t, 0))))
     equations = F.transform("ts", lambda t: F.struct(*own("e", t), _text("N", "name"), _text("x=1", "expression"), _text("complete", "status"), *trace(_ids(t, 0))))
     derivations = F.transform("ts", lambda t: F.struct(*own("v", t), _text("N", "name"), F.array(F.lit("a"), F.lit("b")).alias("steps"), _text("Z", "conclusion"), _text("complete", "status"), *trace(_ids(t, 0))))
     doubts = F.transform(at(1), lambda t: F.struct(*own("u", t), _text("C", "content"), _text("R", "reason"), _ids(t, 1).alias("source_segment_ids")))
     visuals = F.transform(at(2), lambda t: F.struct(*own("w", t), t["r"][2]["seg_start"].alias("timestamp"), _text("X", "context"), _text("board", "reference_type"), F.lit(0.5).alias("confidence"), *trace(_ids(t, 2))))
-    rest = {c: _EMPTY for c in ("examples", "teacher_emphasis", "exam_tips", "common_errors", "open_questions")}
+    rest = {c: _empty() for c in ("examples", "teacher_emphasis", "exam_tips", "common_errors", "open_questions")}
     whole = F.struct(concepts.alias("concepts"), equations.alias("equations"), doubts.alias("uncertain_items"), visuals.alias("visual_references"), *(v.alias(c) for c, v in rest.items()), derivations.alias("derivations"))
     return _topics(seg).select("session_id", "n", F.to_json(whole).alias("response"))
 
@@ -201,8 +206,8 @@ def draft_replies(seg: DataFrame, items: dict[str, tuple[str, int]] = {"concepts
     one = lambda letter, t: F.array(F.concat(F.lit(letter), t["k"].cast("string")))
 
     def section(t: Column) -> Column:
-        own = {R.ITEM_LISTS[c]: F.when(F.size(t["r"]) > place, one(letter, t)).otherwise(_NONE) for c, (letter, place) in items.items()}
-        lists = {f: _NONE for f in R.ITEM_LISTS.values()} | own
+        own = {R.ITEM_LISTS[c]: F.when(F.size(t["r"]) > place, one(letter, t)).otherwise(_none()) for c, (letter, place) in items.items()}
+        lists = {f: _none() for f in R.ITEM_LISTS.values()} | own
         return F.struct(_key("s", t), _key("t", t, "topic_id"), _text("H", "heading"), _text("S", "summary"), every(t).alias("source_segment_ids"), *(v.alias(f) for f, v in lists.items()))
 
     closing = F.array(F.struct(_text("C", "content"), F.array(F.col("ts")[0]["r"][0]["id"]).alias("source_segment_ids")))
@@ -219,8 +224,8 @@ def draft_response_rules(spark, d):
 
 
 def clean_replies(seg: DataFrame) -> DataFrame:
-    why = F.when(F.trim("text") == "", F.array(F.lit("blank"))).otherwise(_NONE)
-    row = F.struct("id", F.trim("text").alias("text"), why.alias("uncertain"), _NONE.alias("visual_references"), F.array().cast("array<struct<original:string>>").alias("corrections"))
+    why = F.when(F.trim("text") == "", F.array(F.lit("blank"))).otherwise(_none())
+    row = F.struct("id", F.trim("text").alias("text"), why.alias("uncertain"), _none().alias("visual_references"), F.array().cast("array<struct<original:string>>").alias("corrections"))
     per = seg.groupBy("session_id", "n").agg(F.array_sort(F.collect_list(F.struct("id", row.alias("row")))).alias("rows"))
     return per.select("session_id", "n", F.to_json(F.struct(F.transform("rows", lambda x: x["row"]).alias("segments"))).alias("response"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,62 +28,53 @@ class Backoff(StatefulProcessor):
     a success does. A timer tells when the retry is due; FORGET seconds later a path that was not seen again leaves the store."""
 
     FORGET = 86_400
-    COLUMNS = ["path", "at_sec", "outcome", "failures", "retry_at"]
     SCHEMA = "path string, at_sec long, outcome string, failures int, retry_at long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("backoff", "failures int, retry_at long, size long, mtime long, told boolean")
+        self.state = handle.getValueState("backoff", "failures int, retry_at long, size long, mtime long, told boolean, timer long")
 
-    def _time(self, seconds: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if seconds is not None:
-            self.handle.registerTimer(1000 * seconds)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        failures, retry_at, size, mtime, told = self.state.get() if self.state.exists() else (0, None, None, None, False)
-        out = []
-        seen = pd.concat(list(rows)).sort_values(["at", "size", "mtime", "ok", "incomplete"])
-        for at, s, m, ok, incomplete in zip(seen["at"], seen["size"], seen["mtime"], seen["ok"], seen["incomplete"], strict=True):
-            at, s, m = int(at), int(s), int(m)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.state.get()
+        failures, retry_at, size, mtime, told, timer = kept or (0, None, None, None, False, None)
+        told_row = lambda *r: Row(path=key[0], at_sec=r[0], outcome=r[1], failures=r[2], retry_at=r[3])
+        for at, s, m, ok, incomplete in sorted((r["at"], r["size"], r["mtime"], r["ok"], r["incomplete"]) for r in rows):
             if failures and not told and retry_at <= at:
-                out.append((key[0], retry_at, "due", failures, retry_at))
+                yield told_row(retry_at, "due", failures, retry_at)
                 told = True
             if failures and (s, m) != (size, mtime):
                 failures, told = 0, False
             if failures and at < retry_at:
-                out.append((key[0], at, "deferred", failures, retry_at))
+                yield told_row(at, "deferred", failures, retry_at)
                 continue
             if ok:
                 failures, retry_at, told = 0, None, False
-                out.append((key[0], at, "ok", 0, None))
+                yield told_row(at, "ok", 0, None)
                 continue
             table = INCOMPLETE_BACKOFF if incomplete else BACKOFF
             failures, size, mtime, told = failures + 1, s, m, False
             retry_at = at + table[min(failures, len(table)) - 1]
-            out.append((key[0], at, "failed", failures, retry_at))
-        if failures:
-            self.state.update((failures, retry_at, size, mtime, told))
-            self._time(retry_at + (self.FORGET if told else 0))
-        else:
+            yield told_row(at, "failed", failures, retry_at)
+        due = 1000 * (retry_at + (self.FORGET if told else 0)) if failures else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None:
+            if timer != due:
+                self.handle.registerTimer(due)
+            self.state.update((failures, retry_at, size, mtime, told, due))
+        elif kept:
             self.state.clear()
-            self._time(None)
-        if out:
-            yield pd.DataFrame(out, columns=self.COLUMNS).astype({"retry_at": "Int64"})
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            failures, retry_at, size, mtime, told = self.state.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if kept := self.state.get():
+            failures, retry_at, size, mtime, told, _ = kept
             if told:  # nothing came of it for a long time
                 self.state.clear()
             else:
-                self.state.update((failures, retry_at, size, mtime, True))
-                self.handle.registerTimer(1000 * (retry_at + self.FORGET))
-                out.append((key[0], retry_at, "due", failures, retry_at))
-        if out:
-            yield pd.DataFrame(out, columns=self.COLUMNS)
+                due = 1000 * (retry_at + self.FORGET)
+                self.handle.registerTimer(due)
+                self.state.update((failures, retry_at, size, mtime, True, due))
+                yield Row(path=key[0], at_sec=retry_at, outcome="due", failures=failures, retry_at=retry_at)
 
     def close(self) -> None:
         pass
@@ -95,7 +86,7 @@ def backoff_stream(sightings: DataFrame, run, delay: str = "0 seconds"):
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
     rows = sightings.withWatermark("seen", delay).where(F.col("seen").isNotNull()).select("path", "seen", F.unix_seconds("seen").alias("at"), whole("size"), whole("mtime"), flag("ok"), flag("incomplete"))
-    out = rows.groupBy("path").transformWithStateInPandas(Backoff(), Backoff.SCHEMA, "Append", "EventTime")
+    out = rows.groupBy("path").transformWithState(Backoff(), Backoff.SCHEMA, "Append", "EventTime")
     return with_conf(sightings.sparkSession, ROCKS, lambda: run(out))
 
 
