@@ -14,7 +14,7 @@ from chronotext.sources.bindings import seg_docs
 from .base import SEG, query
 
 EACH = 40
-_TEXT = r'"(?:[^"\\]|\\.)*"'
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # without a step a character: long texts would overflow the stack
 
 #: remainder of the session's id: (pattern, replacement, ((category, rule, item), ...))
 OUTLINE_FAULTS = {
