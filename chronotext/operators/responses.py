@@ -104,7 +104,7 @@ def keys_are(v: Column, *choices: tuple[str, ...]) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == ""
+    return ~F.rlike(text, F.lit(r"(?U)\S"))
 
 
 def _broken(df: DataFrame, item: Column, *rules: tuple[str, Column], category: Column | None = None) -> DataFrame:
@@ -141,12 +141,14 @@ def placed(segments: DataFrame) -> DataFrame:
     return segments.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("id")) - 1)
 
 
-def slim(segments: DataFrame, *flags: str) -> DataFrame:
+def slim(segments: DataFrame, *flags: str, hints: bool = True) -> DataFrame:
     """What rules need of placed segments, written once: position, times, announces (a derivation), silent (no text), and hint, which holds a formula's sign where
     the text does: the sign itself, else the text's ends, as no sign is longer than three characters but one may go on in the next segment."""
     t = F.coalesce("text", F.lit(""))
+    # what every derivation's cue holds is looked for first, as it is cheaper
+    announces = (F.contains(t, F.lit("推导")) | F.contains(t, F.lit("证明"))) & F.rlike(t, F.lit(DERIVATION_CUE))
     hint = F.when(F.rlike(t, F.lit(FORMULA_CUE)), "=").when(F.length(t) <= 4, t).otherwise(F.concat(F.left(t, F.lit(2)), F.lit("\x00"), F.right(t, F.lit(2))))
-    return materialized(placed(segments).select("session_id", "id", "position", "seg_start", "seg_end", F.rlike(t, F.lit(DERIVATION_CUE)).alias("announces"), blank(t).alias("silent"), hint.alias("hint"), *flags), "segments")
+    return materialized(placed(segments).select("session_id", "id", "position", "seg_start", "seg_end", announces.alias("announces"), blank(t).alias("silent"), (hint if hints else F.lit("")).alias("hint"), *flags), "segments")
 
 
 def sourced(items: DataFrame, segments: DataFrame, key: list[str]) -> DataFrame:
@@ -225,7 +227,7 @@ def outline_topics_of(responses: DataFrame) -> DataFrame:
 def outline_response_violations(responses: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Outlines: topics that cover the segments once and in order, with their times; items inside their topic, transitions between two of them, and
     every segment that announces a derivation in one. segments: session_id, id, seg_start, seg_end, text."""
-    responses, seg = once(responses), slim(segments)
+    responses, seg = once(responses), slim(segments, hints=False)
     docs = parsed(responses)
     topics = materialized(outline_topics_of(responses), "topics")
     typed, common = _common(entries(docs, OUTLINE), OUTLINE, topics, seg, ECHOES["outline"], OUTLINE_TEXT, contiguous=True)
