@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -37,6 +38,18 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def trimmed(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives its memory back at its end."""
+
+    def rows(batches):
+        try:
+            yield from of(batches)
+        finally:
+            trim()
+
+    return rows
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/chronotext/{name}-{uuid.uuid4().hex}"
 
@@ -62,6 +75,16 @@ def located(df: DataFrame, name: str) -> tuple[DataFrame, Column]:
     return df, place(df)
 
 
+def picked(df: DataFrame, place: Column, chosen: DataFrame) -> DataFrame:
+    """Those rows of a located df whose places (file, row) are among the chosen ones. What is sent to the executors is a bit for each row (4 KB
+    for each begun 32768 rows of a file), so that the rows themselves are not shuffled."""
+    at = chosen.groupBy("file", F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits"))
+    bit = F.bitmap_bit_position(place["row"])
+    byte = F.conv(F.hex(F.substring(at["bits"], (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    mine = (place["file"] == at["file"]) & (F.bitmap_bucket_number(place["row"]) == at["bucket"])
+    return df.join(F.broadcast(at), mine & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_semi")
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more; other frames are left alone. Shuffle files of frames that are gone go with them,
     once the driver's JVM has collected its garbage."""

@@ -22,11 +22,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions, table
+from .common import located, materialize, picked, release, shuffle_partitions, table, trimmed
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints on which the shared tree is fitted, the fingerprints that a shard should have, and the tree's size. A larger table has larger
@@ -38,6 +39,8 @@ BLOCK = 1024
 COPY_SHINGLE, COPY = 5, 0.8
 #: Share of a text's shingles that a similar one of its size must share with it among the first ones.
 PREFIX = 0.1
+#: Shingles and texts that a task deals at once, and the seat of a shingle that several of them have.
+DEALT, SEATS, MARK = 1 << 19, 60_000, 65_535
 
 def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
     """64 bits, each set if it is set in over half of the shingles' XXH64; bytes.lower and split are ASCII only."""
@@ -53,28 +56,21 @@ def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
-    """The columns keep and fp, a signed long; with similar also n, the number of the text's distinct COPY_SHINGLE-word shingles, and first, the
-    least of their hashes: two texts of that similarity have at least PREFIX * similar * n of them in common."""
-    more = ["n", "first"] if similar is not None else []
+def _small(batches):
+    return (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000))
+
+
+def fingerprints(docs: DataFrame, text_col: str, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
+    """The columns keep and fp, a signed long."""
 
     def score(batches):
         for b in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column(0)]
             fp = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            out = [*b.columns[1:], pa.array(fp.view(np.int64))]
-            if more:
-                own = [shingles(t) for t in texts]
-                n = np.array([len(h) for h in own], np.int64)
-                take = np.where(n > 0, n - _least_common(n, similar) + _least_common(n, PREFIX), 0)
-                keys = np.concatenate([h[:k] for h, k in zip(own, take, strict=True)]) if len(own) else np.zeros(0, np.uint64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32))
-                out += [pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(out, [*keep, "fp", *more])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp long" + (", n int, first array<long>" if more else "")
-    small = lambda batches: score(b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000))
-    return docs.select(F.col(text_col), *keep).mapInArrow(small, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", fp long"
+    return docs.select(F.col(text_col), *keep).mapInArrow(trimmed(lambda batches: score(_small(batches))), schema)
 
 
 def _distance(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -219,95 +215,124 @@ def _least_common(n, similar: float):
     return np.ceil(n * similar - 1e-9).astype(np.int64)
 
 
-def _distinct(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, nodes) without repeated pairs, sorted; whether each key is there with several nodes."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
-    again = np.zeros(len(keys), bool)
-    again[1:] = keys[1:] == keys[:-1]
-    several = again.copy()
-    several[:-1] |= again[1:]
-    return keys, nodes, several
+def _first(b: pa.RecordBatch, similar: float, share: float):
+    """For each row (node, text): node, n, its number of distinct shingles, and so many of the least of them that a similar text has share of n
+    in common with them; all of them for a share of similar."""
+    for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        own = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"")
+        n = len(own)
+        yield node, n, own[: n - _least_common(n, similar) + _least_common(n, share)] if share < similar else own
+
+
+def _shared(rows: DataFrame, parts: int, own) -> DataFrame:
+    """node, n, shared: how many of the shingles that own tells of a row's text another row's text has too. Rows are distinct texts. Shingles are dealt
+    to parts by their hash, 6 bytes each (32 bits of it, and the text's seat in its batch), and counted there; what a part has counted goes back to
+    the batch, not to a row for each text and part. Different shingles may be taken for equal, so a text may count more, never less. One that
+    several texts of a batch have is settled there: only its mark is sent, so a common shingle costs its part no more than an entry for
+    each batch. A part's shingles are held at once."""
+    lists = lambda ends, v: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v))
+    none = lambda rows, kind: pa.array([[]] * rows, pa.list_(kind))
+
+    def cut(held: list) -> pa.RecordBatch:
+        nodes, n, firsts = zip(*held, strict=True)
+        keys, seats = np.concatenate(firsts), np.repeat(np.arange(len(held)), [len(f) for f in firsts])
+        order = np.argsort(keys, kind="stable")
+        keys, seats = keys[order], seats[order]
+        several = np.zeros(len(keys), bool)
+        several[1:] = keys[1:] == keys[:-1]
+        several[:-1] |= several[1:].copy()
+        settled = np.bincount(seats[several], minlength=len(held)).astype(np.int32)
+        marks = np.unique(keys[several])
+        keys, seats = np.concatenate([keys[~several], marks]), np.concatenate([seats[~several], np.full(len(marks), MARK)]).astype(np.uint16)
+        part = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+        keys = keys.astype(np.uint32)
+        order = np.lexsort((keys, part))
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        home = np.where(np.arange(parts + 1) > nodes[0] % parts, len(held), 0)  # the part that the batch's texts go with
+        columns = [lists(ends, keys[order].view(np.int32)), lists(ends, seats[order].view(np.int16)), lists(home, np.array(nodes, np.int64)), lists(home, np.array(n, np.int32)), lists(home, settled)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(np.full(parts, nodes[0], np.int64)), *columns], ["part", "batch", "keys", "seats", *batch])
 
+    def deal(batches):
+        held, size = [], 0
+        for b in _small(batches):
+            for text in own(b):
+                held.append(text)
+                size += len(text[2])
+                if size >= DEALT or len(held) == SEATS:
+                    yield cut(held)
+                    held, size = [], 0
+        if held:
+            yield cut(held)
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *values]), kind))
+    def count(batches):
+        of, keys, seats, rows = [], [], [], []
+        for b in batches:
+            lens = np.asarray(pc.list_value_length(b.column("keys")))
+            rows.append(np.repeat(np.arange(len(of), len(of) + b.num_rows, dtype=np.int32), lens))
+            of += b.column("batch").to_pylist()
+            keys.append(b.column("keys").flatten().to_numpy())
+            seats.append(b.column("seats").flatten().to_numpy().view(np.uint16))
+            home = b.filter(pc.greater(pc.list_value_length(b.column("nodes")), 0))
+            yield pa.RecordBatch.from_arrays([home.column("batch"), none(home.num_rows, pa.int16()), none(home.num_rows, pa.int32()), *(home.column(c) for c in batch)], ["batch", "seats", "counts", *batch])
+        if sum(map(len, keys)):
+            keys, seats, rows = (np.concatenate(v) for v in (keys, seats, rows))
+            order = np.argsort(keys, kind="stable")
+            keys, seats, rows = keys[order], seats[order], rows[order]
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            lens = np.diff(np.append(start, len(keys)))
+            found = np.repeat((lens > 1) | np.logical_or.reduceat(seats == MARK, start), lens) & (seats != MARK)
+            code, n = np.unique(rows[found].astype(np.int64) << 16 | seats[found], return_counts=True)
+            ends = np.searchsorted(code >> 16, np.arange(len(of) + 1))
+            out = [pa.array(of, pa.int64()), lists(ends, code.astype(np.uint16).view(np.int16)), lists(ends, n.astype(np.int32)), none(len(of), pa.int64()), none(len(of), pa.int32()), none(len(of), pa.int32())]
+            out = pa.RecordBatch.from_arrays(out, ["batch", "seats", "counts", *batch])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+
+    def total(group: pa.Table) -> pa.Table:
+        seats, counts, nodes, n, settled = (group.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("seats", "counts", *batch))
+        shared = settled + np.bincount(seats.view(np.uint16), weights=counts, minlength=len(nodes)).astype(np.int64)
+        some = shared > 0
+        return pa.table({"node": nodes[some], "n": n[some], "shared": shared[some]})
+
+    batch, kinds = ("nodes", "n", "settled"), "nodes array<long>, n array<int>, settled array<int>"
+    dealt = rows.mapInArrow(trimmed(deal), f"part int, batch long, keys array<int>, seats array<smallint>, {kinds}")
+    counted = dealt.repartitionById(parts, F.col("part")).mapInArrow(trimmed(count), f"batch long, seats array<smallint>, counts array<int>, {kinds}")
+    return counted.groupBy("batch").applyInArrow(total, "node long, n int, shared long")
 
 
 def shared_counts(rows: DataFrame, parts: int) -> DataFrame:
-    """node, shared: how many of a text's first shingles another text has (a copy of the text is none; a text with copies may count more). Shingles
-    are dealt to parts by their hash, packed in arrays. One that several texts of a batch have is settled there: only its mark is sent, so a
-    common shingle costs its part no more than a row for each batch. A part's shingles are held at once (16 bytes each)."""
+    """node, shared: how many of the shingles in first another text has (a copy of the text is none). Of a text's copies one row is taken."""
+    own = lambda b: ((node, len(x), np.array(x, np.int64).view(np.uint64)) for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    return _shared(rows.select("node", "first").dropDuplicates(["node"]), parts, own).select("node", "shared")
 
-    def deal(batches):
-        for b in batches:
-            own = b.column(1)
-            lens = np.diff(np.asarray(own.offsets))
-            keys, nodes, several = _distinct(own.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), lens))
-            marks = np.unique(keys[several])
-            seen, counts = np.unique(nodes[several], return_counts=True)
-            keys, nodes = keys[~several], nodes[~several]
-            part = lambda k: ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-            order = np.lexsort((nodes, part(keys)))
-            keys, nodes = keys[order], nodes[order]
-            cut = lambda v, p: np.split(v, np.searchsorted(p, np.arange(1, parts)))
-            by, mark = part(keys), marks[np.argsort(part(marks), kind="stable")]
-            home = seen.view(np.uint64).astype(np.uint64) % np.uint64(parts)
-            place = np.argsort(home, kind="stable")
-            home = home[place].astype(np.int64)
-            columns = [_lists(cut(keys, by), pa.int64()), _lists(cut(nodes, by), pa.int64()), _lists(cut(mark, part(mark)), pa.int64()), _lists(cut(seen[place], home), pa.int64()), _lists(cut(counts[place], home), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), *columns], ["part", "keys", "nodes", "marks", "seen", "counts"])
 
-    def count(batches):
-        held = [[], [], [], [], []]
-        for b in batches:
-            for k in range(5):
-                held[k].append(b.column(k + 1).flatten().to_numpy(zero_copy_only=False))
-        if held[0]:
-            keys, nodes, marks, seen, counts = (np.concatenate(v) for v in held)
-            keys, nodes, several = _distinct(keys, nodes)
-            marks = np.unique(marks)
-            if len(marks):
-                several |= marks[np.minimum(np.searchsorted(marks, keys), len(marks) - 1)] == keys
-            own, n = np.unique(nodes[several], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, seen]), pa.int64()), pa.array(np.concatenate([n, counts]).astype(np.int64))], ["node", "shared"])
-
-    dealt = rows.select("node", "first").mapInArrow(deal, "part int, keys array<long>, nodes array<long>, marks array<long>, seen array<long>, counts array<long>")
-    found = dealt.repartitionById(parts, F.col("part")).mapInArrow(count, "node long, shared long")
-    return found.groupBy("node").agg(F.sum("shared").alias("shared"))
-
-
-def _suspects(rows: DataFrame, similar: float) -> DataFrame:
-    """node, fp, n of the distinct texts that have enough first shingles in common with others. What grows with the data is joined by sorting,
-    never sent to all executors."""
-    texts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
-    # the other text may be smaller by the factor similar, and then shares so many less
-    enough = F.ceil(F.col("n") * (PREFIX * similar) - 1e-9)
-    counts = shared_counts(rows, shuffle_partitions(rows.sparkSession))
-    out = materialize(counts.join(texts.hint("merge"), "node").where(F.col("shared") >= enough).select("node", "fp", "n"), "suspects")
-    del counts, texts
-    release()
-    return out
+def _suspects(texts: DataFrame, similar: float, share: float) -> DataFrame:
+    """node, n of those of the distinct texts (node, text) that have enough of their first shingles, or of all, in common with others."""
+    # the other text may be smaller by the factor similar, and then shares so many less of the first; of all there must be as many
+    enough = F.ceil(F.col("n") * (share * similar if share < similar else similar) - 1e-9)
+    return _shared(texts, shuffle_partitions(texts.sparkSession), lambda b: _first(b, similar, share)).where(F.col("shared") >= enough).select("node", "n")
 
 
-def similar_links(texts: DataFrame, rows: DataFrame, similar: float = COPY) -> DataFrame:
-    """u, v with u > v: fingerprints of texts of that similarity. texts: node (which names a text), text; rows: node, fp, n, first. Enough
-    links to join each component: texts that a shared pivot has already joined are not compared again."""
+def similar_links(docs: DataFrame, place: Column, rows: DataFrame, similar: float = COPY) -> DataFrame:
+    """u, v with u > v: fingerprints of texts of that similarity. docs: node (which names a text), text, found by their place; rows: node, fp, _at
+    (the place). Enough links to join each component: texts that a shared pivot has already joined are not compared again."""
 
     def explode(batches):
-        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        for b in _small(batches):
             own = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(1)]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in own])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))], ["node", "keys"])
 
-    nodes = _suspects(rows, similar)
-    # one shuffle of the texts: equal ones are where the join has put them
-    own = texts.select("node", "text").join(nodes.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    all_keys = materialize(own.select("node", "text").mapInArrow(explode, "node long, keys array<long>"), "shingles")
+    # one row of each text; then those with enough of the first shingles in common with others, then of all. The texts are read again each time
+    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("_at").alias("_at")), "texts")
+    for share in (PREFIX, similar):
+        own = picked(docs, place, nodes.select("_at.*")).select("node", "text")
+        left = nodes.join(_suspects(own, similar, share).hint("merge"), "node").select("node", "fp", "_at", *(["n"] if share == similar else []))
+        former, nodes = nodes, materialize(left, "suspects")
+        del own, left
+        release(former)
+    suspects, nodes = nodes, nodes.drop("_at")
+    own = picked(docs, place, suspects.select("_at.*"))
+    all_keys = materialize(own.select("node", "text").mapInArrow(trimmed(explode), "node long, keys array<long>"), "shingles")
     every = all_keys.select("node", F.explode("keys").alias("key"))
     twice = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # the rarest shingles first, so that a common passage pairs no texts that are not made of it
@@ -317,7 +342,7 @@ def similar_links(texts: DataFrame, rows: DataFrame, similar: float = COPY) -> D
     # a text whose shingles are those of many others is a good pivot: copies are likelier similar to their original than to each other
     sets = materialize(sets.withColumn("score", F.aggregate("keys", F.lit(0.0), lambda a, k: a + k["df"]) / F.col("n")), "sets")
     del every, twice, own
-    release(all_keys, nodes)
+    release(all_keys, suspects)
     places = sets.select("node", "n", "score", F.size("keys").alias("size"), F.posexplode(F.slice("keys", 1, F.col("take"))).alias("pos", "k"))
     prefix = materialize(places.select(F.col("k.key").alias("key"), "node", "n", "score", (F.col("size") - F.col("pos")).alias("left")), "prefixes")
     # of the shingles from this one on, which are left on both sides, there must be enough: true of the first that two similar texts share
@@ -369,13 +394,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similar is None:
         rows = materialize(fingerprints(docs, text_col, [id_col, *keep], shingle), "fingerprints")
     else:
-        own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), id_col, *keep)
-        own = own.select("text", id_col, *keep, F.xxhash64("text").alias("node"))
-        rows = materialize(fingerprints(own, "text", [id_col, *keep, "node"], shingle, similar), "fingerprints")
+        own, place = located(docs.select(id_col, text_col, *keep), "texts")
+        own = own.withColumn("_at", place).withColumn("text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("node", F.xxhash64("text"))
+        rows = materialize(fingerprints(own, "text", [id_col, *keep, "node", "_at"], shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     found = fingerprint_links(nodes, radius)
     if similar is not None:
-        more = similar_links(own, rows, similar)
+        more = similar_links(own, own["_at"], rows, similar)
         found = found.unionByName(more)
     of = components(found)
     members = nodes.join(of.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))

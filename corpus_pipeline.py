@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import located, materialize, release, table
+from chronotext.llm.common import located, materialize, picked, release, table
 from chronotext.llm.decontaminate import decontaminate
 from chronotext.llm.packing import pack
 from chronotext.llm.pii import redact
@@ -31,7 +31,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = near_duplicates(docs.select("doc_id", "text", place.alias("_place")), keep=("_place",), similar=COPY)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place")).alias("first"))
     stay = materialize(first.select("first._place.*"), "stay")
-    return docs.join(stay, (place["file"] == stay["file"]) & (place["row"] == stay["row"]), "left_semi")
+    return picked(docs, place, stay)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

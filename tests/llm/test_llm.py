@@ -631,6 +631,58 @@ def test_shared_shingles_are_counted(spark):
     assert simhash.shared_counts(lone, 3).count() == 0 == simhash.shared_counts(lone.limit(0), 3).count()
 
 
+def python_rows(df) -> list[int]:
+    """How many rows each Python node of the plan has made."""
+    df.collect()
+
+    def walk(p):
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from walk(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            yield from walk(p.plan())
+        else:
+            if p.nodeName() == "MapInArrow":
+                yield p.metrics().apply("pythonNumRowsReceived").value()
+            for k in range(p.children().size()):
+                yield from walk(p.children().apply(k))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_shared_counts_are_no_row_for_each_text_and_part(spark):
+    texts = spark.createDataFrame([(k, list(range(200))) for k in range(60)], "node long, first array<long>").repartition(4)
+    out = simhash.shared_counts(texts, 50)
+    rows = python_rows(out)
+    assert {tuple(r) for r in out.collect()} == {(k, 200) for k in range(60)}
+    assert len(rows) == 2 and max(rows) <= 4 * (50 + 1)
+
+
+def test_picked_rows(spark, tmp_path):
+    from chronotext.llm.common import located, picked
+
+    spark.range(0, 100_000, 1, 1).write.parquet(f"{tmp_path}/t")
+    spark.range(100_000, 100_007, 1, 1).write.mode("append").parquet(f"{tmp_path}/t")
+    df, place = located(spark.read.parquet(f"{tmp_path}/t"), "t")
+    rng = random.Random(3)
+    want = {0, 7, 8, 32_767, 32_768, 32_769, 65_535, 65_536, 99_999, 100_000, 100_006, *rng.sample(range(100_000), 3000)}
+    chosen = df.where(F.col("id").isin(*want)).select(place.alias("_at")).select("_at.*")
+    assert sorted(r.id for r in picked(df, place, chosen).collect()) == sorted(want)
+    assert picked(df, place, chosen.limit(0)).count() == 0
+
+
+def test_dedup_stage_does_not_shuffle_the_texts(spark, sf):
+    import corpus_pipeline
+
+    former = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.simhash_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        out.collect()
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
+
+
 def test_copies_beyond_the_radius_are_linked(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
