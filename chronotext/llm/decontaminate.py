@@ -332,9 +332,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
     def apply(before: DataFrame | None, shared: Broadcast) -> DataFrame:
         def rows(batches):
-            for b in batches:
+            for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):  # what is held of a batch is bounded
                 keep = np.ones(b.num_rows, bool)
-                keep[[d for d, *_ in shared.value.scan(b.column(at))]] = False
+                keep[[d for d, *_ in shared.value.scan(b.column(at), 1 << 18)]] = False
                 yield b.filter(pa.array(keep))
 
         return (docs if before is None else before).mapInArrow(_task(rows), schema)
