@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import located, materialize, table
-from .tokens import Encoder, default_vocabulary
+from .tokens import BATCH_BYTES, Encoder, default_vocabulary
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -32,14 +32,14 @@ ITERATIONS = 400
 MAX_WASTE = 0.004
 
 
-def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most: int = BATCH_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: only documents of more than max_tokens ids are cut, the remainder first."""
 
     def cut(batches):
         with Encoder.task(vocabulary) as encoder:
             for b in batches:
                 ids, text = b.column(0), b.column(1)
-                for first, tokens, off in encoder.batches(text):
+                for first, tokens, off in encoder.batches(text, most):
                     n_docs = len(off) - 1
                     n = np.diff(off) + 1
                     own = np.insert(tokens, off[1:], np.int32(end_id)).astype("<u4")
@@ -163,8 +163,9 @@ def place(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return place(materialize(pieces(docs, vocabulary or default_vocabulary(), max_tokens, end_id, id_col, text_col), "pieces"), max_tokens)
+def pack(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most: int = BATCH_BYTES) -> DataFrame:
+    """A row for each piece, with its sequence and place. A task encodes at most so many bytes of text at once."""
+    return place(materialize(pieces(docs, vocabulary or default_vocabulary(), max_tokens, end_id, id_col, text_col, most), "pieces"), max_tokens)
 
 
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,11 +153,11 @@ class Encoder:
         ids = self.store[np.repeat(self.starts[entry] - (ends - lens), lens) + np.arange(ends[-1])]
         return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, off)]
 
-    def batches(self, texts: pa.Array):
-        """(first row, ids, offsets) over runs of at most BATCH_BYTES."""
+    def batches(self, texts: pa.Array, most: int = BATCH_BYTES):
+        """(first row, ids, offsets) over runs of at most so many bytes."""
         size = np.asarray(pa.compute.binary_length(texts.cast(pa.large_binary())).fill_null(0)).cumsum()
         i = 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + BATCH_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right")))
             yield i, *self.encode(texts.slice(i, j - i))
             i = j

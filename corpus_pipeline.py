@@ -46,7 +46,7 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: a row for each piece of a document, with its sequence and place."""
-    return pack(docs)
+    return pack(docs, most=2 << 20)  # the executors' memory is nearly all taken
 
 
 STAGES = [

@@ -683,6 +683,11 @@ def test_dedup_stage_does_not_shuffle_the_texts(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
 
 
+def test_pieces_are_the_same_in_small_batches(spark, docs):
+    whole = Counter(packing.pieces(docs, tokens.default_vocabulary()).collect())
+    assert Counter(packing.pieces(docs, tokens.default_vocabulary(), most=100).collect()) == whole
+
+
 def test_copies_beyond_the_radius_are_linked(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
